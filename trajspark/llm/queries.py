@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import multiset_hash, sharding, url_filter
+from . import multiset_hash, sharding, simhash, substring_dedup, url_filter
 from .common import table
 
 SHARDS = 40
@@ -29,6 +29,17 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -36,6 +47,8 @@ def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
+    "op3_simhash": op3_simhash,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_multiset_fingerprint": op9_multiset_fingerprint,
 }
 
@@ -57,6 +70,17 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -64,6 +88,8 @@ def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
+    "op3_simhash": op3_simhash,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_multiset_fingerprint": op9_multiset_fingerprint,
 }
 
@@ -90,6 +116,17 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -97,6 +134,8 @@ def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
+    "op3_simhash": op3_simhash,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_multiset_fingerprint": op9_multiset_fingerprint,
 }
 
@@ -134,6 +173,17 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -141,6 +191,8 @@ def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
+    "op3_simhash": op3_simhash,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_multiset_fingerprint": op9_multiset_fingerprint,
 }
 
