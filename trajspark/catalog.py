@@ -1,12 +1,8 @@
-"""Registry of the engine's queries over the stock tables, and their SQL."""
+"""All queries of the engine over the stock tables, and SQL for them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import accounting_queries, comparison_queries, selection_queries, sequence_queries, streaming_queries  # noqa: F401
+from .plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
