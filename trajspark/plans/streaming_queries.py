@@ -21,7 +21,8 @@ def _checkpoint(spark: SparkSession) -> str:
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path)
+    # a glob: a stream's path must not be a single file
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
 
 
 @query("SELECT event_id, event_id % 3 AS training_attempt_id, event_id // 100 AS optimizer_step FROM events WHERE (event_id // 100) % 4 <> 3")
