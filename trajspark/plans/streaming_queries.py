@@ -31,7 +31,7 @@ def stream_commit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.floor(F.col("event_id") / F.lit(100)).cast("long")
     keyed = _events(spark, sf_dir).select("event_id", F.pmod("event_id", F.lit(3)).alias("training_attempt_id"), step.alias("optimizer_step"), F.col("ts").cast("timestamp").alias("at"))
     commits = _events(spark, sf_dir).filter("event_id % 100 < 3").select(
-        F.pmod("event_id", F.lit(3)).alias("training_attempt_id"), step.alias("optimizer_step"), (F.col("ts") + F.expr("interval 12 hours")).cast("timestamp").alias("at")).filter("optimizer_step % 4 <> 3")
+        F.pmod("event_id", F.lit(3)).alias("training_attempt_id"), step.alias("optimizer_step"), (F.col("ts") + F.expr("interval 20 days")).cast("timestamp").alias("at")).filter("optimizer_step % 4 <> 3")
     joined = streams.commit_join(keyed, commits, "40 days").select("event_id", "training_attempt_id", "optimizer_step")
     return streams.run_once(joined, f"commits_{uuid.uuid4().hex}", _checkpoint(spark))
 

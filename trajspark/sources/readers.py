@@ -17,7 +17,7 @@ from ..functions import scalars
 METRIC_LINE = r"{name}\s*=\s*([-+0-9.eEinfa]+)"
 TIMESTAMP = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
 
-LINEAGE = StructType.fromDDL(
+LINEAGE = (
     "format_version INT, run_id STRING, logical_run_id STRING, training_attempt_id STRING, resume_generation INT, checkpoint_base_step INT, "
     "occurrence_id STRING, lineage_part_id STRING, phase STRING, optimizer_step INT, optimizer_update_applied BOOLEAN, rank INT, world_size INT, "
     "microbatch_id INT, gradient_accumulation_index INT, sample_slot INT, source_view STRING, dataset STRING, task STRING, episode INT, "
