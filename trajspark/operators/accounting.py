@@ -60,6 +60,16 @@ def zero_fraction(support: DataFrame, seen: DataFrame, keys: list[str]) -> DataF
     return flags.agg(F.avg(F.when(F.col("hit").isNull(), 1.0).otherwise(0.0)).alias("zero_fraction"))
 
 
+def slot_cells(slots: DataFrame, group: list[str]) -> DataFrame:
+    """Committed slots by target, all in one shuffle: exposures of effective ones, and counts of the others under null targets."""
+    hit = lineage.is_effective()
+    keys = [F.col(g).alias(f"__{g}") for g in group] + [F.when(hit, F.col(t)).alias(t) for t in lineage.TARGET]
+    return lineage.committed(slots).groupBy(*keys).agg(
+        F.sum(F.when(hit, F.col("weight")).otherwise(0.0)).alias("exposure_weighted"), F.count_if(hit).alias("exposure_unweighted"),
+        F.count_if(lineage.is_padding()).alias("padding_slots"), F.count_if(~lineage.is_padding() & ~hit).alias("invalid_slots"),
+    )
+
+
 def card_row(
     records: DataFrame, slots: DataFrame, eligible: DataFrame | None = None, group: list[str] | None = None,
     wall_clock_s: float | None = None, world_size: int | None = None, peak_vram: int | None = None,
@@ -72,17 +82,19 @@ def card_row(
     group = group or []
     done = lineage.committed(records)
     draws = done.groupBy(*group).agg(F.count(F.lit(1)).alias("sample_draws"), F.count_distinct("optimizer_step").alias("optimizer_steps"))
-    seen = lineage.exposures(slots, *[g for g in group if g not in lineage.TARGET])
-    support = seen.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("U_seen"), F.sum("exposure_unweighted").alias("E_action_unweighted"),
-        F.sum("exposure_weighted").alias("E_action_weighted"), effective_support("exposure_weighted").alias("N_eff"),
-        *[v.alias(f"exposure_{k}") for k, v in exact_quantiles("exposure_weighted").items()],
+    cells = slot_cells(slots, group)
+    seen = cells.filter("exposure_unweighted > 0")
+    weighted = F.when(F.col("exposure_unweighted") > 0, F.col("exposure_weighted"))
+    support = cells.groupBy(*[F.col(f"__{g}").alias(g) for g in group]).agg(
+        F.count_if(F.col("exposure_unweighted") > 0).alias("U_seen"), F.sum("exposure_unweighted").alias("E_action_unweighted"),
+        F.sum("exposure_weighted").alias("E_action_weighted"), effective_support(weighted).alias("N_eff"),
+        *[v.alias(f"exposure_{k}") for k, v in exact_quantiles(weighted).items()],
+        F.sum("padding_slots").alias("padding_slots"), F.sum("invalid_slots").alias("invalid_slots"),
     )
-    totals = lineage.slot_totals(slots, *group)
     if group:
-        row = draws.join(support, group, "left").join(totals, group, "left")
+        row = draws.join(support, group, "left")
     else:
-        row = draws.crossJoin(support).crossJoin(totals)  # one row each
+        row = draws.crossJoin(support)  # one row each
     if eligible is not None and not group:
         row = row.crossJoin(eligible.agg(F.count_distinct(*lineage.TARGET).alias("U_eligible")))
         row = row.crossJoin(zero_fraction(eligible, seen, lineage.TARGET).withColumnRenamed("zero_fraction", "zero_exposure_fraction_eligible"))
