@@ -12,7 +12,8 @@ word sequence that also starts in a document with a smaller doc_id.
    with a larger doc_id than the smallest that has it as a block.
 3. Only windows that contain an anchor are looked at further: they are grouped
    by hash, each with its smallest doc_id.  Windows of documents with a larger
-   one are repeats, and overlapping ones merge into maximal exact repeats.
+   one are repeats, and overlapping ones merge into maximal exact repeats,
+   which are all that goes back to the texts.
 
 Two independent 64-bit hashes (block and window) must agree for a repeat.
 Groups hold one pre-aggregated row for each task, never the pairs of a group.
@@ -28,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -39,6 +40,8 @@ WINDOW, BLOCK = 50, 25
 EXPECTED_BLOCKS = 32
 BLOCK_BASE, WINDOW_BASE = 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1
+#: Bytes of passages up to which they are broadcast to the texts.
+BROADCAST_BYTES = 32_000_000
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
@@ -118,12 +121,12 @@ def _probes(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
 
 def _candidates(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["w", "doc_id", "row", "start"]
+    names = ["w", "doc_id", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, windows, bloom = Windows(BLOCK, BLOCK_BASE), Windows(WINDOW, WINDOW_BASE), BitFilter(*shared.value)
         for batch in batches:
-            ws, docs, rows, starts = [], [], [], []
+            ws, docs, places = [], [], []
             ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             for doc, row, text in zip(ids, keys, _texts(batch, 1), strict=True):
                 words = hash_words(text)
@@ -138,11 +141,10 @@ def _candidates(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 start = np.nonzero(upto[reach:] - upto[:-reach] > 0)[0]
                 ws.append(windows(words)[start])
                 docs.append(np.full(len(start), doc, np.int64))
-                rows.append(np.full(len(start), row, np.int64))
-                starts.append(start.astype(np.int32))
+                places.append((np.int64(row) << np.int64(32)) | start)  # the row's 32 bits and the window's first word
             if ws:
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(np.concatenate(ws)), *(pa.array(np.concatenate(x)) for x in (docs, rows, starts))], names=names
+                    [_signed(np.concatenate(ws)), *(pa.array(np.concatenate(x)) for x in (docs, places))], names=names
                 )
 
     return run
@@ -150,14 +152,29 @@ def _candidates(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Only what the passes read; row tells texts of one doc_id apart."""
-    return docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"),
-        F.xxhash64(F.col(text)).alias("row"),
-    )
+    return docs.select(_own_id(key), F.col(text).alias("text"), F.hash(F.col(text)).alias("row"))
+
+
+def _own_id(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc_id")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Maximal repeats: first words and ends of the words that the windows cover."""
+    for batch in batches:
+        firsts, ends = [], []
+        for starts in batch.column(2):
+            own = np.sort(starts.values.to_numpy())
+            cut = np.nonzero(np.diff(own) > WINDOW)[0] + 1
+            firsts.append(own[np.concatenate([[0], cut])])
+            ends.append(own[np.concatenate([cut - 1, [len(own) - 1]])] + WINDOW)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), *(pa.array(x, pa.list_(pa.int32())) for x in (firsts, ends))], names=["doc_id", "row", "firsts", "ends"]
+        )
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, starts): first words of the windows to remove, for each text that has any."""
+    """(doc_id, row, firsts, ends): the words to remove, for each text that has any; row is the text's 32-bit hash."""
     spark = docs.sparkSession
     rows = _keyed(docs, key, text)
     plain = rows.select("doc_id", "text")
@@ -171,31 +188,31 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     shared = spark.sparkContext.broadcast((bits, _collect_filter(sliced, bits).data))
     sent.unpersist()
 
-    found = materialize(rows.mapInArrow(_candidates(shared), "w long, doc_id long, row long, start int"), "windows")
+    found = materialize(rows.mapInArrow(_candidates(shared), "w long, doc_id long, place long"), "windows")
     least = found.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    # written, so that the join below has plain exchanges on both sides: a hot window's rows can be split
+    least = materialize(least.select("w", "least"), "repeats")
     repeats = found.join(least, "w").filter("doc_id > least")
-    return repeats.groupBy("doc_id", "row").agg(F.collect_set("start").alias("starts"))
+    starts = F.collect_set(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts")
+    grouped = repeats.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("row")).agg(starts)
+    return grouped.mapInArrow(_merged, "doc_id long, row int, firsts array<int>, ends array<int>")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], position: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, starts = _texts(batch, position), batch.column(batch.num_columns - 1)
+        texts, firsts, ends = _texts(batch, position), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
         total, removed, kept = [], [], []
         for i, text in enumerate(texts):
             words = text.split()
-            gone = np.zeros(len(words) + 1, np.int64)
-            if starts[i].is_valid:
-                own = starts[i].values.to_numpy()
-                np.add.at(gone, own, 1)
-                np.subtract.at(gone, own + WINDOW, 1)
-            gone = np.cumsum(gone)[:-1] > 0
-            n = int(gone.sum())
             total.append(len(words))
-            removed.append(n)
-            kept.append(b" ".join(words if not n else [w for w, g in zip(words, gone, strict=True) if not g]))
+            if firsts[i].is_valid:
+                for a, b in zip(reversed(firsts[i].as_py()), reversed(ends[i].as_py()), strict=True):
+                    del words[a:b]
+            removed.append(total[-1] - len(words))
+            kept.append(b" ".join(words))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            names=[*batch.schema.names[:-1], "n_words", "n_removed", "kept_text"],
+            [*batch.columns[:-2], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+            names=[*batch.schema.names[:-2], "n_words", "n_removed", "kept_text"],
         )
 
 
@@ -204,12 +221,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     clash = {"n_words", "n_removed", "kept_text"} & set(docs.columns)
     docs = docs.drop(*clash)
     repeats = find_repeats(docs, key, text).select(
-        F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("starts").alias("__starts")
+        F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("firsts").alias("__firsts"), F.col("ends").alias("__ends")
     )
-    own_id = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
-    joined = docs.withColumns({"__k": own_id, "__h": F.xxhash64(F.col(text))}).join(
-        repeats, (F.col("__k") == F.col("__id")) & (F.col("__h") == F.col("__row")), "left"
-    ).select(*docs.columns, "__starts")
+    repeats = materialize(repeats, "passages")
+    size = repeats.agg(F.coalesce(F.sum(F.size("__firsts") * 8 + 64), F.lit(0)).alias("b")).first()["b"]
+    # where the passages are few enough the texts stay where they are; else both sides are shuffled
+    passages = F.broadcast(repeats) if size <= BROADCAST_BYTES else repeats
+    on = (F.col("__k") == F.col("__id")) & (F.col("__h") == F.col("__row"))
+    keyed = docs.withColumns({"__k": _own_id(key), "__h": F.hash(F.col(text))})
+    joined = keyed.join(passages, on, "left").select(*docs.columns, "__firsts", "__ends")
     position = docs.columns.index(text)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
