@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,11 +49,18 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Smaller batches over the same memory: what a Python worker unpacks at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def bucket_count(rows: int, groups: int, per_bucket: int = 200_000, most: int = 1024) -> int:
+def bucket_count(rows: int, groups: int, per_bucket: int = 2_000, most: int = 1024) -> int:
     """Buckets for each group so that a bucket holds about ``per_bucket`` rows.
 
     ``groups * most`` bounds the offset table of :func:`with_rank` whatever the input.

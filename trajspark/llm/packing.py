@@ -18,7 +18,10 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,13 +30,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucket_count, materialize, with_rank
+from .common import bucket_count, materialize, sliced, with_rank
 from .piece_cache import PieceCache
 
 WINDOW, UNIT, DEPTH, END_ID = 2048, 16, 3, 1
 #: Distinct pieces whose ids a worker keeps, in each of two generations.
 CACHE_ROOM = 400_000
-_TAIL = b".,;:!?"
+#: ASCII punctuation but for the apostrophe, which contractions begin with.
+_TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Words of lower-case ASCII and Latin-1 letters, in UTF-8: one token run, and unchanged by normalisation.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Words on which the direct way must agree with the tokenizer before it is taken.
+_PROBES = [b"a", b"word", b"packing", b"\xc3\x9fa", "\u00e9t\u00e9".encode(), "stra\u00dfe".encode(), b"thththth", "\u00f1o\u00f1\u00ff".encode()]
+
+
+def _byte_alphabet() -> dict[int, int]:
+    """Byte-level alphabet of BPE tokenizers: printable bytes stand for themselves, the others follow from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + n for n, b in enumerate(rest)}
+
+
 
 
 class Ids:
@@ -51,10 +68,27 @@ class Ids:
         self.kind = np.dtype(f"<u{self.width}")
         self.cache = PieceCache(self._encode, room)
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.code, self.alphabet = "HI"[self.width // 4], _byte_alphabet()
+        try:
+            self.direct = self._by_tokenizer(_PROBES) == [self._by_model(p) for p in _PROBES]
+        except Exception:  # another kind of model
+            self.direct = False
 
-    def _encode(self, pieces: list[bytes]) -> list[bytes]:
+    def _by_tokenizer(self, pieces: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+        return [array(self.code, x.ids).tobytes() for x in found]
+
+    def _by_model(self, piece: bytes) -> bytes:
+        """A plain word's ids from the merges alone, without the tokenizer's normalising, splitting and offsets."""
+        tokens = self.tokenizer.model.tokenize(piece.decode("latin-1").translate(self.alphabet))
+        return array(self.code, [t.id for t in tokens]).tobytes()
+
+    def _encode(self, pieces: list[bytes]) -> list[bytes]:
+        if not self.direct:
+            return self._by_tokenizer(pieces)
+        plain = [_PLAIN.fullmatch(p) is not None for p in pieces]
+        rest = iter(self._by_tokenizer([p for p, simple in zip(pieces, plain, strict=True) if not simple]))
+        return [self._by_model(p) if simple else next(rest) for p, simple in zip(pieces, plain, strict=True)]
 
     def _split(self, text: bytes) -> list[bytes]:
         if any(s in text.lower() for s in self.specials):
@@ -84,6 +118,7 @@ _LOADED: dict[str, Ids] = {}
 def ids_of(path: str) -> Ids:
     """One tokenizer and cache for each worker process."""
     if path not in _LOADED:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         _LOADED[path] = Ids(path)
     return _LOADED[path]
 
@@ -92,7 +127,7 @@ def _tokenise(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(path)
         end = np.array([end_id], ids.kind).tobytes()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             for at in range(0, len(texts), 1024):
                 found = [x + end for x in ids(texts[at : at + 1024])]
@@ -196,7 +231,7 @@ def _digest(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns: list[list] = [[] for _ in names]
             rows = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
             for doc, n, ids, pieces in rows:
