@@ -7,6 +7,7 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,16 +16,28 @@ from pyspark.sql import functions as F
 from trajspark.llm import decontaminate, packing, simhash, substring_dedup, toxicity
 from trajspark.llm.common import materialize, table
 from trajspark.llm.queries import tokenizer_file
+from trajspark.session import share_code
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _stage(f: Stage) -> Stage:
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        share_code(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, model).filter("predicted = 0").select(*docs.columns)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays, once."""
     classes = simhash.near_duplicate_components(docs)
@@ -32,6 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
+@_stage
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go; a document that loses all its words goes with them."""
     cleaned = substring_dedup.remove_repeats(docs)
@@ -41,6 +55,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return left.withColumn("n_chars", size).select(*docs.columns)
 
 
+@_stage
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -48,6 +63,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of what is left."""
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
