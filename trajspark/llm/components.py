@@ -27,7 +27,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"),
-        F.sum(F.shiftright(F.xxhash64("v", "u"), 24)).alias("s"),
+        F.sum(F.shiftright(F.xxhash64("v", "u"), 40)).alias("s"),
     ).first()
     return tuple(row)
 
