@@ -164,10 +164,10 @@ def occurrence_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).alias("occurrence_id"))
 
 
-@query("WITH r AS (SELECT user_id % 8 AS rank, sum(value) AS s FROM events GROUP BY 1) SELECT round(max(s), 4) AS rank_max, round(avg(s), 4) AS rank_mean, round(sum(s), 4) AS rank_sum, count(*) AS n_ranks FROM r")
+@query("WITH r AS (SELECT user_id % 8 AS rank, sum(value) AS s FROM events GROUP BY 1) SELECT round(max(s), 6) AS rank_max, round(avg(s), 6) AS rank_mean, round(sum(s), 6) AS rank_sum, count(*) AS n_ranks FROM r")
 def timing_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = roles.table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(8)).alias("rank"), "value")
-    return evaluation.timing(rows, "rank", "value").select(*[F.round(c, 4).alias(c) for c in ("rank_max", "rank_mean", "rank_sum")], F.size("ranks").cast("long").alias("n_ranks"))
+    return evaluation.timing(rows, "rank", "value").select(*[F.round(c, 6).alias(c) for c in ("rank_max", "rank_mean", "rank_sum")], F.size("ranks").cast("long").alias("n_ranks"))
 
 
 @query("""SELECT coalesce(c_mktsegment, 'total') AS suite, sum(c_nationkey + 1)::BIGINT AS c_unique, sum(c_custkey % 100)::BIGINT AS c_seen, round(sum(c_custkey % 100) / sum(c_nationkey + 1), 6) AS replay,

@@ -104,10 +104,10 @@ def budget_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in ("action_ratio", "overlap_ratio")})
 
 
-@query("""SELECT c_mktsegment AS selector, c_nationkey % 3 AS budget, round(avg(c_acctbal), 4) AS mean, round(coalesce(stddev_samp(c_acctbal), 0.0), 4) AS std, min(c_acctbal) AS least, max(c_acctbal) AS most, count(c_acctbal) AS n FROM customer GROUP BY ALL""")
+@query("""SELECT c_mktsegment AS selector, c_nationkey % 3 AS budget, round(avg(c_acctbal), 6) AS mean, round(coalesce(stddev_samp(c_acctbal), 0.0), 6) AS std, min(c_acctbal) AS least, max(c_acctbal) AS most, count(c_acctbal) AS n FROM customer GROUP BY ALL""")
 def seed_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = roles.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("selector"), F.pmod("c_nationkey", F.lit(3)).alias("budget"), "c_acctbal")
-    return selectors.seed_aggregate(rows, "c_acctbal", ["selector", "budget"]).withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
+    return selectors.seed_aggregate(rows, "c_acctbal", ["selector", "budget"]).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
 @query("""WITH s AS (SELECT p_brand AS selector, (p_size % 4 + 1) * 0.25 AS budget, max(p_retailprice) AS score FROM part GROUP BY ALL), f AS (SELECT selector, max(score) AS full_score FROM s WHERE budget >= 0.999 GROUP BY 1)
