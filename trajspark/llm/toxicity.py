@@ -34,8 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, sliced
+
 #: Bounds of what fitting may gather: labelled rows, lexicon entries, misspelled forms.
 MAX_LABELLED, MAX_TERMS, MAX_FORMS = 20_000, 2_000, 20_000
+#: Entries that a task counts before it hands them on.
+MOST_COUNTED = 200_000
 THRESHOLD = 0.7
 STEM_LENGTHS = range(4, 9)
 FUZZY_LENGTH, FUZZY_SHARE = 5, 0.5
@@ -246,21 +250,29 @@ def _entries(text: str | None) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) > n}
 
 
+def _counted(counts: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
+    """What was counted so far, as rows; the counters are empty afterwards."""
+    for toxic, found in enumerate(counts):
+        items = list(found.items())
+        found.clear()
+        for at in range(0, len(items), 50_000):
+            part = items[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in part], pa.string()), pa.array([toxic] * len(part), pa.int32()), pa.array([v for _, v in part], pa.int64())],
+                names=["entry", "toxic", "n"],
+            )
+
+
 def _count(wanted: set[str] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
-        for batch in batches:
+        for batch in sliced(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = _entries(text)
                 counts[toxic].update(own if wanted is None else own & wanted)
-        for toxic, found in enumerate(counts):
-            items = list(found.items())
-            for at in range(0, len(items), 50_000):
-                part = items[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in part], pa.string()), pa.array([toxic] * len(part), pa.int32()), pa.array([v for _, v in part], pa.int64())],
-                    names=["entry", "toxic", "n"],
-                )
+                if len(counts[0]) + len(counts[1]) > MOST_COUNTED:
+                    yield from _counted(counts)
+        yield from _counted(counts)
 
     return run
 
@@ -299,7 +311,7 @@ def _choose(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> L
 def _collect_features(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(lexicon)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [features(finder, t or "") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
@@ -309,14 +321,12 @@ def _collect_features(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]],
 def _collect_forms(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, counts = Finder(lexicon), (Counter(), Counter())
-        for batch in batches:
+        for batch in sliced(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[toxic].update({t for _, _, m, _, t in finder.hits(text or "")[0] if m})
-        for toxic, found in enumerate(counts):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.string()), pa.array([toxic] * len(found), pa.int32()), pa.array(list(found.values()), pa.int64())],
-                names=["entry", "toxic", "n"],
-            )
+                if len(counts[0]) + len(counts[1]) > MOST_COUNTED:
+                    yield from _counted(counts)
+        yield from _counted(counts)
 
     return run
 
@@ -352,7 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = known.groupBy("k").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("k"), "k").limit(MAX_LABELLED)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
     # the sample of ids has at most MAX_LABELLED rows
-    sample = rows.join(F.broadcast(chosen), "k").select("text", "toxic")
+    sample = materialize(rows.join(F.broadcast(chosen), "k").select("text", "toxic"), "labelled")
     totals = dict(sample.groupBy("toxic").count().collect())
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     lexicon = Lexicon()
@@ -383,7 +393,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(model.lexicon)
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [model.score(finder, t or "") for t in batch.column(position).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
