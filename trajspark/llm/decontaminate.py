@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 ERROR_RATE = 0.08
 #: Item text that one broadcast carries; more items are searched block by block.
 BLOCK_CHARS = 4_000_000
@@ -128,7 +130,7 @@ class Matcher:
 def _search(shared, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value, rate)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [
                 (doc, *match)
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)

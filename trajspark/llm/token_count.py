@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 from .piece_cache import PieceCache
 
 MARK = "▁"
@@ -102,7 +104,7 @@ def _cache(path: str) -> PieceCache:
 def _count(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(path)
-        for batch in batches:
+        for batch in sliced(batches):
             words, tokens = [], []
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 1024):
