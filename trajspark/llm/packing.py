@@ -273,7 +273,7 @@ def pack_documents(
     lot = spark.createDataFrame(places, "__q int, __from long, __to long, __first long, part int")
 
     rests = lengths.filter("rest > 0").select("uid", "n", "rest", bin_of.alias("q"))
-    bucket = F.pmod(F.xxhash64("uid"), F.lit(bucket_count(total["rows"], len(histogram) or 1)))
+    bucket = F.pmod(F.xxhash64("uid"), F.lit(bucket_count(total["rows"], 1)))
     ranked = with_rank(rests, "q", [F.col("uid")], bucket, "rank")
     # the plan has at most one row for each bin of each combination with repeats
     dealt = ranked.join(
