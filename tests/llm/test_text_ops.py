@@ -49,6 +49,16 @@ def test_pages_without_article_and_odd_pages(spark):
     assert extract(spark, []) == {}
 
 
+@pytest.mark.parametrize("first", range(0, 400, 40))
+def test_hosts_with_two_templates(spark, first):
+    bare = "<html><body><div class='top'>Site name</div><div class='content'><p>text {0}</p></div><div class='end'>Site end</div></body></html>"
+    framed = "<html><body><div class='content'><p>other {0}</p></div><article><p>lead {0}</p></article></body></html>"
+    rows = [(first + i, "http://d.com/x", (framed if i % 3 else bare).format(first + i)) for i in range(30)]
+    found = extract(spark, rows)
+    for i in range(30):
+        assert found[first + i]["text"] == (f"lead {first + i}" if i % 3 else f"text {first + i}")
+
+
 def test_wrappers_align_into_groups():
     streams = [html_extract.Page(page(i, *["x"] * n)).stream for i, n in enumerate((1, 3, 2))]
     wrapper = html_extract.infer(streams)
