@@ -59,6 +59,25 @@ def test_hosts_with_two_templates(spark, first):
         assert found[first + i]["text"] == (f"lead {first + i}" if i % 3 else f"text {first + i}")
 
 
+def test_slots_are_told_apart_by_the_match(spark):
+    html = "<html><body><article><h1>Title {0}</h1><p>Read with care</p><div><span>text {0}</span></div>{1}<p>Read with care</p></article></body></html>"
+    rows = [(i, "http://e.com/x", html.format(i, "<h2>Head</h2>" if i % 2 else "")) for i in range(20)]
+    rows += [(50, "http://e.com/x", html.format(50, "<table><tr><td>never seen</td></tr></table>"))]
+    found = extract(spark, rows)
+    for i in range(20):
+        assert found[i]["text"] == f"Title {i}\ntext {i}" + ("\nHead" if i % 2 else "")
+    assert found[50]["text"] == "Title 50\ntext 50\nnever seen"
+
+
+def test_long_streams_are_aligned():
+    odd = lambda n, k: "<body><article><p>fixed</p>" + "".join(f"<h{1 + (i * i + i // 7 * k) % 6}>t{n}</h{1 + (i * i + i // 7 * k) % 6}>" for i in range(3000)) + "<i>x</i><div>also fixed</div></article>"
+    pages = [html_extract.Page(odd(n, n + 1)) for n in range(2)]
+    assert max(len(html_extract.fold(p.stream)) for p in pages) > html_extract.LONGEST
+    wrapper = html_extract.Wrapper(**html_extract.Wrapper.build(pages))
+    left = [s[2] for s, n in zip(pages[1].slots, wrapper.slots(pages[1]), strict=True) if n not in wrapper.fixed]
+    assert "fixed" not in left and "also fixed" not in left and "t1" in left
+
+
 def test_wrappers_align_into_groups():
     streams = [html_extract.Page(page(i, *["x"] * n)).stream for i, n in enumerate((1, 3, 2))]
     wrapper = html_extract.infer(streams)
