@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import decontaminate, packing, simhash, substring_dedup, toxicity
+from trajspark.llm import decontaminate, jaccard, packing, substring_dedup, toxicity
 from trajspark.llm.common import materialize, table
 from trajspark.llm.queries import tokenizer_file
 from trajspark.session import share_code
@@ -39,9 +39,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays, once."""
-    classes = simhash.near_duplicate_components(docs)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    """Of each group of documents alike in five-word shingles the one with the smallest doc_id stays, once."""
+    classes = jaccard.similar_classes(docs)
+    kept = classes.groupBy("root").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 

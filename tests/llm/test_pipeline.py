@@ -73,3 +73,49 @@ def test_run(spark, tables):
     at = tables[0]
     found = corpus_pipeline.run(spark, at)
     assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and found.count() > 0
+
+
+def jaccard_rows():
+    """Texts of 100 words and near copies of them with up to 17 words changed; similarity from 0.4 to 1."""
+    rng = random.Random(3)
+    rows = []
+    for n in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        rows.append((10 * n, " ".join(words)))
+        for k in range(1, 6):
+            near = list(words)
+            at = rng.randrange(60)
+            near[at : at + 3 * k + n % 3] = [f"x{rng.randrange(5000)}" for _ in range(3 * k + n % 3)]
+            rows.append((10 * n + k, " ".join(near)))
+    return rows
+
+
+def plain_classes(rows):
+    def cut(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets, parent = [cut(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(rows))]
+
+
+def test_near_dedup_takes_similar_texts(spark):
+    import corpus_pipeline
+
+    rows = jaccard_rows() + [(500, None), (501, " "), (502, "two words"), (503, "Two  WORDS")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    roots = plain_classes(rows)
+    least = {}
+    for (i, _), r in zip(rows, roots, strict=True):
+        least[r] = min(least.get(r, i), i)
+    assert found == sorted(least.values()) and 20 < len(found) < 60

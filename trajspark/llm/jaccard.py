@@ -1,0 +1,123 @@
+"""Classes of documents whose word shingles are alike: MinHash bands for candidates, exact Jaccard for links.
+
+A document is the set of its ``SHINGLE``-word shingles (ASCII case and white
+space do not count).  Sets that agree in one of ``BANDS`` bands of ``ROWS``
+minima are candidates; a pair at the least similarity is one with probability
+1 - (1 - 0.8 ** 5) ** 30, that is 0.999993.  Each set is compared with the
+least of its bucket first; then the sets of a bucket that are not in one
+class yet are compared pair by pair.  Links are exact: the similarity of the
+sets of 64-bit shingle hashes is at least ``LEAST``.
+
+Defined results: a null text counts as empty, and all empty texts are alike;
+fewer words than a shingle make one shingle of all of them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from .common import materialize, sliced
+from .components import connected_components
+from .wordhash import Windows, hash_words, mix
+
+SHINGLE, LEAST = 5, 0.8
+BANDS, ROWS = 30, 5
+#: Shingles whose minima are taken at once.
+PIECE = 1 << 13
+_FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_MIX = mix(np.arange(1001, 1001 + BANDS, dtype=np.uint64)) | np.uint64(1)
+
+
+def shingles(text: bytes, windows: Windows) -> np.ndarray:
+    """Distinct hashes of the text's shingles, sorted; never empty."""
+    words = hash_words(text.lower())
+    if len(words) >= SHINGLE:
+        return np.unique(windows(words))
+    return np.array([xxh64_intdigest(words.tobytes(), SHINGLE)], np.uint64)
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), PIECE):
+        np.minimum(least, (found[at : at + PIECE, None] * _FACTORS).min(0), out=least)
+    keys = _MIX.copy()
+    for row in range(ROWS):
+        keys = mix(keys ^ least[row::ROWS])
+    return keys
+
+
+def _windows() -> Windows:
+    return Windows(SHINGLE, 0x2545F4914F6CDD1D)
+
+
+def _node(found: np.ndarray) -> int:
+    return xxh64_intdigest(found.tobytes(), 7)
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    windows = _windows()
+    for batch in sliced(batches):
+        sets = [shingles(t or b"", windows) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        nodes = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
+        bands = np.concatenate([band_keys(s) for s in sets] or [np.empty(0, np.uint64)]).view(np.int64)
+        ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
+        columns = [batch.column(0), batch.column(1), pa.array(nodes), pa.ListArray.from_arrays(ends, pa.array(bands))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    windows = _windows()
+    for batch in sliced(batches, 256):
+        sets = [shingles(t or b"", windows) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+        nodes = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
+        ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+        values = pa.array(np.concatenate(sets or [np.empty(0, np.uint64)]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(ends, values)], names=["node", "shingles"])
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) of sets that are alike; sets are built again for the nodes of pairs alone."""
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    known = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+    own = texts.join(known, "text_hash", "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>")
+    own = materialize(own.dropDuplicates(["node"]), "jaccard-sets")
+    left = own.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    right = own.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    shared = F.size(F.array_intersect("a", "b"))
+    alike = shared >= F.lit(LEAST) * (F.size("a") + F.size("b") - shared)
+    return pairs.join(left, "u").join(right, "v").filter(alike).select("u", "v")
+
+
+def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) for each of the nodes."""
+    roots = connected_components(links)
+    return nodes.join(roots, nodes["node"] == roots["vertex"], "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, root) for each row: rows of one root are joined by links of similar texts."""
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = materialize(texts.select("doc_id", "text_hash", "text").mapInArrow(_banded, "doc_id long, text_hash long, node long, bands array<long>"), "jaccard")
+    nodes = materialize(rows.select("node", "bands").dropDuplicates(["node"]), "jaccard-nodes")
+    keyed = nodes.select("node", F.explode("bands").alias("k"))
+    buckets = keyed.groupBy("k").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", "least")
+    # buckets of one have no pairs: their rows do not go on
+    shared = materialize(keyed.join(buckets, "k"), "jaccard-buckets")
+    pairs = materialize(shared.filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), "jaccard-pairs")
+    links = materialize(_verified(pairs, rows, texts), "jaccard-links")
+    first = materialize(_roots(nodes.select("node"), links), "jaccard-roots")
+    # buckets that hold several classes still: their pairs across classes, but those compared before
+    placed = shared.join(first, "node")
+    mixed = placed.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("k")
+    open_ = materialize(placed.join(mixed, "k").select("k", "node", "root"), "jaccard-open")
+    a, b = open_.toDF("k", "u", "ru"), open_.toDF("k", "v", "rv")
+    rest = a.join(b, "k").filter("u < v and ru <> rv").select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
+    more = materialize(_verified(materialize(rest, "jaccard-pairs"), rows, texts), "jaccard-links")
+    final = _roots(nodes.select("node"), links.unionByName(more)) if more.take(1) else first
+    return rows.select("doc_id", "text_hash", "node").join(final, "node").select("doc_id", "text_hash", "root")
