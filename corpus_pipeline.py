@@ -39,10 +39,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents alike in five-word shingles the one with the smallest doc_id stays, once."""
+    """Of each group of documents alike in five-word shingles one row stays: that with the smallest doc_id (nulls last), then text hash."""
     classes = jaccard.similar_classes(docs)
-    kept = classes.groupBy("root").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    kept = classes.groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
+    rows = docs.withColumn("__text", F.xxhash64("text"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
+    # what is left of a class are rows of one doc_id and one text: the least of them
+    return rows.groupBy("doc_id", "__text").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
 
 
 @_stage

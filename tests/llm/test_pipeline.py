@@ -119,3 +119,14 @@ def test_near_dedup_takes_similar_texts(spark):
     for (i, _), r in zip(rows, roots, strict=True):
         least[r] = min(least.get(r, i), i)
     assert found == sorted(least.values()) and 20 < len(found) < 60
+
+
+def test_near_dedup_keeps_rows_that_share_an_id(spark):
+    import corpus_pipeline
+
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(None, texts[0], "y"), (None, texts[1], "x"), (None, texts[1], "w"), (7, texts[2], "x"), (7, texts[3], "x"), (7, texts[3].upper(), "x"), (9, texts[0], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    kept = {x for x in found if x[1].lower() != texts[3]}
+    assert kept == {(None, texts[1], "w"), (7, texts[2], "x"), (9, texts[0], "x")} and len(found) == 4
