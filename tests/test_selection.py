@@ -176,3 +176,15 @@ def test_coverage_of_everything(spark):
     rows = selectors.coverage(df, episodes, 10).collect()
     assert all(r["coverage_ratio"] == 1.0 for r in rows) and sum(r["total"] for r in rows) == 25
     assert df.agg(F.count(F.lit(1))).first()[0] == 1
+
+
+def test_packing_queries_hold_every_document(spark):
+    from trajspark.plans import selection_queries
+
+    at = "/root/testdata/sf0.01"
+    rows = selection_queries.lpt_bfd_packing(spark, at).collect()
+    sizes = {r["doc_id"]: -(-r["n_chars"] // 128) * 128 for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "n_chars").collect()}
+    over = {r["index"] for r in rows if r["update_id"] is None}
+    assert over == {i for i, n in sizes.items() if n > 16384} and over
+    assert {r["index"] for r in rows if r["update_id"] is not None} == set(sizes) - over
+    assert selection_queries.packing_violations(spark, at).first()["violations"] == 0

@@ -126,6 +126,6 @@ acts AS (SELECT episode, segment, unnest(generate_series(first, last)) AS action
 
 def packing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as items to pack: index, tokens in multiples of 128, shape by language."""
-    return table(spark, sf_dir, "documents").filter("n_chars <= 16000").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("index"), (F.ceil(F.col("n_chars") / F.lit(128)) * 128).cast("long").alias("token_count"), F.col("lang").alias("shape_signature")
     )

@@ -186,15 +186,21 @@ LIMITS = packing.Limits(ranks=4, per_rank=8, max_tokens=16384, max_items=8)
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    items = roles.packing_items(spark, sf_dir)
-    occurring = packing.occurrences(items, packing.updates(spark, 0, 16), LIMITS.per_update, items.count(), 42)
+    """As many updates as hold each item that fits once; the last one goes on in the next epoch."""
+    items = roles.packing_items(spark, sf_dir).filter(F.col("token_count") <= LIMITS.max_tokens)
+    n = items.count()
+    occurring = packing.occurrences(items, packing.updates(spark, 0, -(-n // LIMITS.per_update)), LIMITS.per_update, n, 42)
     return packing.plan(occurring, items, LIMITS), items
 
 
 @query()
 def lpt_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest-first ranks and best-fit packs of 16 updates; sequential, so without SQL (tested against invariants)."""
-    return _plan(spark, sf_dir)[0]
+    """Longest-first ranks and best-fit packs of one epoch; sequential, so without SQL (tested against invariants).
+
+    Items over the token limit are rows without an update.
+    """
+    over = packing.oversized(roles.packing_items(spark, sf_dir), LIMITS.max_tokens).select("index", "token_count")
+    return _plan(spark, sf_dir)[0].unionByName(over, allowMissingColumns=True)
 
 
 @query()
