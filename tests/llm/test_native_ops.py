@@ -103,6 +103,12 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert url_filter.rarest_tokens(tokens, [url_filter.Rule("block", "com", "/en/")]) == {"p:en": [0]}
 
 
+def test_url_rules_on_hosts_with_blanks(spark):
+    pages = spark.createDataFrame([(1, "http://a b.net/es/x"), (2, "http://a bnet/es/x")], "page_id long, url string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, [url_filter.Rule("block", "net", "/es/")]).collect()}
+    assert found == {1: ("net/es/", "block"), 2: (None, "allow")}
+
+
 def test_url_rules_on_nothing(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge_urls(empty, queries.URL_RULES).count() == 0

@@ -38,8 +38,8 @@ class Rule:
 
     @property
     def regex(self) -> str:
-        """Over host and path with a blank between them (neither can make the other's end)."""
-        return rf"^(?:[^ ]*\.)?{_quoted(self.host)} {_quoted(self.path)}"
+        """Over host and path with a # between them (neither can hold one)."""
+        return rf"^(?:[^#]*\.)?{_quoted(self.host)}#{_quoted(self.path)}"
 
     def tokens(self) -> list[str]:
         """Tokens that every URL the rule fits has: host labels, path segments closed by a slash."""
@@ -109,7 +109,7 @@ def judge_urls(
     ])
     keys = F.array(*[F.lit(t) for t in sorted(index)])
     fetched = F.flatten(F.transform(F.array_intersect(F.col("__tokens"), keys), lambda t: F.element_at(filed, t)))
-    target = F.concat_ws(" ", "host", "path")
+    target = F.concat_ws("#", "host", "path")
     fitting = F.filter(fetched, lambda r: F.rlike(target, r["regex"]))
     return rows.withColumn("__best", F.array_max(fitting)).select(
         "page_id", "host", "path", F.col("__best.text").alias("rule"),
