@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import decontaminate, jaccard, packing, substring_dedup, toxicity
+from trajspark.llm import decontaminate, packing, simhash, substring_dedup, toxicity
 from trajspark.llm.common import materialize, table
 from trajspark.llm.queries import tokenizer_file
 from trajspark.session import share_code
@@ -40,7 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents alike in five-word shingles one row stays: that with the smallest doc_id (nulls last), then text hash."""
-    classes = jaccard.similar_classes(docs)
+    classes = simhash.near_duplicate_classes(docs)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     kept = classes.groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
     rows = docs.withColumn("__text", F.xxhash64("text"))

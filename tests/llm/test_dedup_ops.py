@@ -68,29 +68,87 @@ def test_near_duplicate_components(spark):
     assert sorted(map(tuple, found)) == expected
 
 
+def test_null_ids_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 1 << 10)
+    long = " ".join(f"w{i * i % 9973}" for i in range(70_000))
+    rows = [(None, "only here and nowhere else"), (None, "a b c d e f g"), (5, "A b c d e f g"), (8, long), (9, long + " end"), (10, long[: len(long) // 3])]
+    found = sorted(map(tuple, simhash.near_duplicate_components(docs(spark, rows)).collect()), key=repr)
+    prints = [plain_fingerprint(t) for _, t in rows]
+    expected = [(None, f"{prints[0]:016x}", None), (None, f"{prints[1]:016x}", 5), (5, f"{prints[2]:016x}", 5)]
+    roots = plain_components(prints[3:])
+    expected += [(i, f"{p:016x}", rows[3 + r][0]) for (i, _), p, r in zip(rows[3:], prints[3:], roots, strict=True)]
+    assert found == sorted(expected, key=repr)
+
+
+def test_groups_are_whole_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    for _ in range(200):
+        keys = sorted(rng.randrange(6) for _ in range(rng.randrange(1, 40)))
+        table = pa.table({"k": pa.array(keys, pa.int64()), "v": [[i] * (i % 3) for i in range(len(keys))]})
+        batches = []
+        at = 0
+        while at < len(keys):
+            n = rng.randrange(1, 8)
+            batches += table.slice(at, n).to_batches()
+            at += n
+        out = list(simhash._runs(iter(batches), 1))
+        assert pa.Table.from_batches(out).to_pydict() == table.to_pydict()
+        seen = [set(b.column(0).to_pylist()) for b in out]
+        assert sum(map(len, seen)) == len(set(keys))
+
+
 def test_nothing_to_group(spark):
+    assert simhash.near_duplicate_classes(docs(spark, [])).count() == 0
     assert simhash.near_duplicate_components(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("n", [5, 40, 3000])
-def test_index_finds_all_links(n):
+@pytest.mark.parametrize(("n", "limit"), [(1, 4), (5, 4), (40, 4), (3000, 4), (900, 9)])
+def test_index_finds_all_links(n, limit):
     rng = np.random.default_rng(n)
     words = rng.integers(0, 1 << 63, n, dtype=np.uint64)
     flips = np.bitwise_xor(words[: n // 2], np.uint64(1) << rng.integers(0, 64, n // 2, dtype=np.uint64))
     words = np.unique(np.concatenate([words, flips, flips ^ np.uint64(7)]))
-    u, v = simhash.links(words)
-    parent = {int(w): int(w) for w in words}
-    parent |= {int(a): int(b) for a, b in zip(u, v, strict=True)}
-    near = np.bitwise_count(words[:, None] ^ words[None, :]) <= 4 if n <= 40 else None
-    if near is not None:
-        roots = plain_components([int(w) for w in words])
+    index = simhash.GrayIndex(words)
+    own = np.arange(len(words))
+    found = {(int(a), int(b)) for i, j in index.pairs(limit, lambda: own) for a, b in zip(i, j, strict=True)}
+    near = np.triu(np.bitwise_count(index.words[:, None] ^ index.words[None, :]) <= limit, 1)
+    assert found == set(zip(*map(list, np.nonzero(near)), strict=True))
+    u, v = simhash.links(words, limit)
+    parent = {int(w): int(w) for w in words} | {int(a): int(b) for a, b in zip(u, v, strict=True)}
+    if n <= 40:
+        roots = plain_components([int(w) for w in words], limit)
         for i in range(len(words)):
             for j in range(len(words)):
                 assert (parent[int(words[i])] == parent[int(words[j])]) == (roots[i] == roots[j])
-    else:
-        for k in range(n // 2):
-            a, b = int(flips[k]), int(flips[k] ^ np.uint64(7))
-            assert parent[a] == parent[b]
+    for i, j in found:
+        assert parent[int(index.words[i])] == parent[int(index.words[j])]
+
+
+def test_index_prunes_groups_by_summed_differences():
+    rng = np.random.default_rng(7)
+    words = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    index, own = simhash.GrayIndex(words), np.arange(len(words))
+    assert sum(len(i) for i, _ in index.pairs(4, lambda: own)) <= 2
+    assert index.pruned > 0.5 * index.looked and index.looked < 0.4 * len(words) ** 2 / 2
+    # a node has only bits that none above it has, and all bits of a member are somewhere on its way down
+    seen = np.zeros(1, np.uint64)
+    for pattern, mask in index.levels:
+        above = seen.repeat(simhash.FAN)[: len(mask)] if len(mask) > 1 else np.zeros(1, np.uint64)
+        assert not (above & mask).any() and not (pattern & ~mask).any()
+        seen = above | mask
+    assert (seen == ~np.uint64(0)).all()
+
+
+@pytest.mark.parametrize("n", [1, 4096, 4097, 300_000, 10**8, 10**10, 10**13])
+def test_split_masks_lose_no_pair(n):
+    rng = np.random.default_rng(3)
+    masks = simhash.split_masks(n, 4)
+    assert (masks == [0]) == (n <= simhash.GROUP)
+    for _ in range(2000):
+        apart = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+        assert any(apart & m == 0 for m in masks)
 
 
 def test_dense_group_is_one_tree():
@@ -101,6 +159,7 @@ def test_dense_group_is_one_tree():
 
 def test_split_groups_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP_LIMIT", 4)
+    monkeypatch.setattr(simhash, "GROUP", 2)
     rows = [(i, f"same text with one number {i % 30} at its end and more words that stay the same for all of them here") for i in range(60)]
     found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_components(docs(spark, rows)).collect()}
     roots = plain_components([plain_fingerprint(t) for _, t in rows])
