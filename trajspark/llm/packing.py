@@ -11,8 +11,8 @@ three rests; what exceeds the window (under ``DEPTH * UNIT`` ids) is cut off
 the last.  All residuals are packed greedily, one after another, and cut
 where a window is full, so only the last sequence is padded.
 
-Defined results: a null text is the empty text (the end id alone); repeated
-rows are packed one by one; an empty table gives an empty result; other
+Defined results: a null text is the empty text (the end id alone); a null
+doc_id is a row like any other; repeated rows are packed one by one; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -35,12 +35,14 @@ from .piece_cache import PieceCache
 
 WINDOW, UNIT, DEPTH, END_ID = 2048, 16, 3, 1
 #: Distinct pieces whose ids a worker keeps, in each of two generations.
-CACHE_ROOM = 400_000
+CACHE_ROOM = 200_000
 #: ASCII punctuation but for the apostrophe, which contractions begin with.
 _TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Words of lower-case ASCII and Latin-1 letters, in UTF-8: one token run, and unchanged by normalisation.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
-#: Words on which the direct way must agree with the tokenizer before it is taken.
+#: Texts whose ids must be those of their pieces, else whole texts are given to the tokenizer;
+#: and words on which the direct way must agree with it before it is taken.
+_TEXTS = [b"Two  words", b"a\tb\nc d, e.", b"Hello, World! (x) ...", "na\u00efve  STRASSE stra\u00dfe".encode(), b" lead", b"trail ", b"1,000.5 - x's"]
 _PROBES = [b"a", b"word", b"packing", b"\xc3\x9fa", "\u00e9t\u00e9".encode(), "stra\u00dfe".encode(), b"thththth", "\u00f1o\u00f1\u00ff".encode()]
 
 
@@ -51,13 +53,12 @@ def _byte_alphabet() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + n for n, b in enumerate(rest)}
 
 
-
-
 class Ids:
     """Token ids of whole texts as little-endian unsigned words of ``width`` bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its white-space-separated pieces; each distinct piece is encoded once.
+    A tokenizer that drops white space and case and never joins across white
+    space gives a text the ids of its pieces; each distinct piece is encoded
+    once.  Any other tokenizer is given whole texts.
     """
 
     def __init__(self, path: str, room: int = CACHE_ROOM):
@@ -73,6 +74,7 @@ class Ids:
             self.direct = self._by_tokenizer(_PROBES) == [self._by_model(p) for p in _PROBES]
         except Exception:  # another kind of model
             self.direct = False
+        self.whole = any(self._by_tokenizer([t])[0] != b"".join(self._encode(self._split(t))) for t in _TEXTS)
 
     def _by_tokenizer(self, pieces: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
@@ -106,6 +108,9 @@ class Ids:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 256):
+            if self.whole:
+                out += self._by_tokenizer(texts[at : at + 256])
+                continue
             split = [self._split(t) for t in texts[at : at + 256]]
             self.cache.prepare({p for pieces in split for p in pieces})
             out += [b"".join(map(self.cache.__getitem__, pieces)) for pieces in split]
