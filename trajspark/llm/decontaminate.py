@@ -8,8 +8,9 @@ hit the item's least edit distance to a substring is computed exactly.
 
 Defined results: null and empty documents, and empty items, have no match;
 one row for each matching (row of documents, item_id) with its best match
-(least distance, then first place); repeated rows repeat their matches; an
-empty table on either side gives an empty result; other columns are ignored.
+(least distance, then first place); items with a null id are one item, whose
+row has a null item_id; a null doc_id is a row like any other; repeated rows
+repeat their matches; an empty table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ class Matcher:
             item_id = self.items[n][0]
             if item_id not in by_item or match < by_item[item_id]:
                 by_item[item_id] = match
-        return sorted((k, *v) for k, v in by_item.items())
+        return sorted(((k, *v) for k, v in by_item.items()), key=lambda m: (m[0] is None, m[0] or 0))
 
 
 def _search(shared, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
