@@ -19,8 +19,8 @@ Two independent 64-bit hashes (block and window) must agree for a repeat.
 Groups hold one pre-aggregated row for each task, never the pairs of a group.
 
 Defined results: a null text has no words; rows with one doc_id never remove
-each other's words; a null doc_id counts as larger than any; an empty table
-gives an empty result.
+each other's words (so rows without a doc_id never do); a null doc_id counts
+as larger than any; an empty table gives an empty result; other columns stay.
 """
 
 from __future__ import annotations
@@ -121,12 +121,12 @@ def _probes(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
 
 def _candidates(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["w", "doc_id", "place"]
+    names = ["w", "doc_id", "row", "start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, windows, bloom = Windows(BLOCK, BLOCK_BASE), Windows(WINDOW, WINDOW_BASE), BitFilter(*shared.value)
         for batch in sliced(batches):
-            ws, docs, places = [], [], []
+            ws, docs, rows, starts = [], [], [], []
             ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             for doc, row, text in zip(ids, keys, _texts(batch, 1), strict=True):
                 words = hash_words(text)
@@ -141,10 +141,11 @@ def _candidates(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 start = np.nonzero(upto[reach:] - upto[:-reach] > 0)[0]
                 ws.append(windows(words)[start])
                 docs.append(np.full(len(start), doc, np.int64))
-                places.append((np.int64(row) << np.int64(32)) | start)  # the row's 32 bits and the window's first word
+                rows.append(np.full(len(start), row, np.int64))
+                starts.append(start.astype(np.int32))
             if ws:
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(np.concatenate(ws)), *(pa.array(np.concatenate(x)) for x in (docs, places))], names=names
+                    [_signed(np.concatenate(ws)), *(pa.array(np.concatenate(x)) for x in (docs, rows, starts))], names=names
                 )
 
     return run
@@ -152,7 +153,7 @@ def _candidates(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Only what the passes read; row tells texts of one doc_id apart."""
-    return docs.select(_own_id(key), F.col(text).alias("text"), F.hash(F.col(text)).alias("row"))
+    return docs.select(_own_id(key), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
 
 
 def _own_id(key: str) -> Column:
@@ -174,7 +175,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, firsts, ends): the words to remove, for each text that has any; row is the text's 32-bit hash."""
+    """(doc_id, row, firsts, ends): the words to remove, for each text that has any; row is the text's 64-bit hash."""
     spark = docs.sparkSession
     rows = _keyed(docs, key, text)
     plain = rows.select("doc_id", "text")
@@ -188,14 +189,13 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     shared = spark.sparkContext.broadcast((bits, _collect_filter(sliced, bits).data))
     sent.unpersist()
 
-    found = materialize(rows.mapInArrow(_candidates(shared), "w long, doc_id long, place long"), "windows")
+    found = materialize(rows.mapInArrow(_candidates(shared), "w long, doc_id long, row long, start int"), "windows")
     least = found.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     # written, so that the join below has plain exchanges on both sides: a hot window's rows can be split
     least = materialize(least.select("w", "least"), "repeats")
     repeats = found.join(least, "w").filter("doc_id > least")
-    starts = F.collect_set(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts")
-    grouped = repeats.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("row")).agg(starts)
-    return grouped.mapInArrow(_merged, "doc_id long, row int, firsts array<int>, ends array<int>")
+    grouped = repeats.groupBy("doc_id", "row").agg(F.collect_set("start").alias("starts"))
+    return grouped.mapInArrow(_merged, "doc_id long, row long, firsts array<int>, ends array<int>")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], position: int) -> Iterator[pa.RecordBatch]:
@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # where the passages are few enough the texts stay where they are; else both sides are shuffled
     passages = F.broadcast(repeats) if size <= BROADCAST_BYTES else repeats
     on = (F.col("__k") == F.col("__id")) & (F.col("__h") == F.col("__row"))
-    keyed = docs.withColumns({"__k": _own_id(key), "__h": F.hash(F.col(text))})
+    keyed = docs.withColumns({"__k": _own_id(key), "__h": F.xxhash64(text)})
     joined = keyed.join(passages, on, "left").select(*docs.columns, "__firsts", "__ends")
     position = docs.columns.index(text)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
