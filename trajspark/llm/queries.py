@@ -40,74 +40,6 @@ URL_RULES = [
 ]
 
 
-def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
-
-
-def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
-
-
-def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
-
-
-def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
-
-
-def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
-
-
-def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
-
-
-def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
-
-
-def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup.remove_repeats(docs).select(
-        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
-    )
-
-
-def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiset_hash.fingerprint_documents(table(spark, sf_dir, "documents"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_sharding": op1_sharding,
-    "op2_url_filter": op2_url_filter,
-    "op3_simhash": op3_simhash,
-    "op4_html_text": op4_html_text,
-    "op5_toxicity": op5_toxicity,
-    "op6_packing": op6_packing,
-    "op7_token_count": op7_token_count,
-    "op8_substring_dedup": op8_substring_dedup,
-    "op9_multiset_fingerprint": op9_multiset_fingerprint,
-    "op10_decontaminate": op10_decontaminate,
-}
-
-
-_RULES = [
-    url_filter.Rule("allow", "com", "/"),
-    url_filter.Rule("block", "example.com", "/en/"),
-    url_filter.Rule("allow", "www.example.com", "/en/"),
-    url_filter.Rule("block", "net", "/es/"),
-    url_filter.Rule("block", "net", "/fr/"),
-]
-
-
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
@@ -149,167 +81,8 @@ def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_sharding": op1_sharding,
-    "op2_url_filter": op2_url_filter,
-    "op3_simhash": op3_simhash,
-    "op4_html_text": op4_html_text,
-    "op5_toxicity": op5_toxicity,
-    "op6_packing": op6_packing,
-    "op7_token_count": op7_token_count,
-    "op8_substring_dedup": op8_substring_dedup,
-    "op9_multiset_fingerprint": op9_multiset_fingerprint,
-    "op10_decontaminate": op10_decontaminate,
-}
-
-
-def _fifth(x: str) -> str:
-    p = sharding.PRIME
-    return f"(((({x})*({x})%{p})*(({x})*({x})%{p})%{p})*({x})%{p})"
-
-
-_RULES = [
-    url_filter.Rule("allow", "com", "/"),
-    url_filter.Rule("block", "example.com", "/en/"),
-    url_filter.Rule("allow", "www.example.com", "/en/"),
-    url_filter.Rule("block", "net", "/es/"),
-    url_filter.Rule("block", "net", "/fr/"),
-]
-
-
-def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
-
-
-def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
-
-
-def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
-
-
-def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
-
-
-def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
-
-
-def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
-
-
-def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
-
-
-def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup.remove_repeats(docs).select(
-        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
-    )
-
-
-def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiset_hash.fingerprint_documents(table(spark, sf_dir, "documents"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_sharding": op1_sharding,
-    "op2_url_filter": op2_url_filter,
-    "op3_simhash": op3_simhash,
-    "op4_html_text": op4_html_text,
-    "op5_toxicity": op5_toxicity,
-    "op6_packing": op6_packing,
-    "op7_token_count": op7_token_count,
-    "op8_substring_dedup": op8_substring_dedup,
-    "op9_multiset_fingerprint": op9_multiset_fingerprint,
-    "op10_decontaminate": op10_decontaminate,
-}
-
-
-def _fifth(x: str) -> str:
-    p = sharding.PRIME
-    return f"(((({x})*({x})%{p})*(({x})*({x})%{p})%{p})*({x})%{p})"
-
-
-OP1 = f"""
-WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + {sharding.ROW_OVERHEAD} AS size,
-             coalesce(text, '') AS body, md5(coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
-k AS (SELECT *, ('0x' || substr(h, 1, 12))::BIGINT % {sharding.PRIME} AS a, ('0x' || substr(h, 13, 12))::BIGINT % {sharding.PRIME} AS b FROM d),
-s AS (SELECT k.doc_id, i, (a + i * {sharding.STEP}) % {sharding.PRIME} AS x, b FROM k, range(0, {SHARDS + 1}) r(i)),
-s2 AS (SELECT doc_id, i, ({_fifth('x')} + b) % {sharding.PRIME} AS y FROM s),
-s3 AS (SELECT doc_id, i, {_fifth('y')} AS draw FROM s2),
-best AS (SELECT doc_id, first(i ORDER BY draw DESC, i) FILTER (i < {SHARDS}) AS shard, first(i ORDER BY draw DESC, i) AS grown_shard FROM s3 GROUP BY doc_id),
-j AS (SELECT d.*, best.shard, best.grown_shard FROM d JOIN best USING (doc_id))
-SELECT doc_id, size, text_crc32, law, shard, grown_shard, slot FROM j"""
-
-_RULES = [
-    url_filter.Rule("allow", "com", "/"),
-    url_filter.Rule("block", "example.com", "/en/"),
-    url_filter.Rule("allow", "www.example.com", "/en/"),
-    url_filter.Rule("block", "net", "/es/"),
-    url_filter.Rule("block", "net", "/fr/"),
-]
-
-
-def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
-
-
-def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
-
-
-def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
-
-
-def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
-
-
-def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
-
-
-def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
-
-
-def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
-
-
-def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup.remove_repeats(docs).select(
-        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
-    )
-
-
-def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiset_hash.fingerprint_documents(table(spark, sf_dir, "documents"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_sharding": op1_sharding,
-    "op2_url_filter": op2_url_filter,
-    "op3_simhash": op3_simhash,
-    "op4_html_text": op4_html_text,
-    "op5_toxicity": op5_toxicity,
-    "op6_packing": op6_packing,
-    "op7_token_count": op7_token_count,
-    "op8_substring_dedup": op8_substring_dedup,
-    "op9_multiset_fingerprint": op9_multiset_fingerprint,
-    "op10_decontaminate": op10_decontaminate,
-}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def _fifth(x: str) -> str:
@@ -317,16 +90,22 @@ def _fifth(x: str) -> str:
     return f"(((({x})*({x})%{p})*(({x})*({x})%{p})%{p})*({x})%{p})"
 
 
+_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"  # one bit of CRC-32
 OP1 = f"""
-WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + {sharding.ROW_OVERHEAD} AS size,
-             coalesce(text, '') AS body, md5(coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
-k AS (SELECT *, ('0x' || substr(h, 1, 12))::BIGINT % {sharding.PRIME} AS a, ('0x' || substr(h, 13, 12))::BIGINT % {sharding.PRIME} AS b FROM d),
-s AS (SELECT k.doc_id, i, (a + i * {sharding.STEP}) % {sharding.PRIME} AS x, b FROM k, range(0, {SHARDS + 1}) r(i)),
-s2 AS (SELECT doc_id, i, ({_fifth('x')} + b) % {sharding.PRIME} AS y FROM s),
-s3 AS (SELECT doc_id, i, {_fifth('y')} AS draw FROM s2),
-best AS (SELECT doc_id, arg_max(i, (draw, -i)) FILTER (i < {SHARDS}) AS shard, arg_max(i, (draw, -i)) AS grown_shard FROM s3 GROUP BY doc_id)
-SELECT doc_id, size, law, shard, grown_shard FROM (
-SELECT d.doc_id, d.size::BIGINT AS size, 'key' AS law, shard::INT AS shard, grown_shard::INT AS grown_shard FROM d JOIN best USING (doc_id))
+WITH RECURSIVE bits(i, round, c) AS (SELECT range, 0, range::BIGINT FROM range(256) UNION ALL SELECT i, round + 1, {_STEP} FROM bits WHERE round < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE round = 8),
+d AS (SELECT row_number() OVER () AS uid, doc_id, octet_length(encode(coalesce(text, ''))) + {sharding.ROW_OVERHEAD} AS size,
+        md5(coalesce(doc_id::VARCHAR, 'null')) AS h, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents),
+z AS (SELECT uid, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(bytes, lambda b: ('0x' || b)::BIGINT)),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc),
+k AS (SELECT uid, ('0x' || substr(h, 1, 12))::BIGINT % {sharding.PRIME} AS a, ('0x' || substr(h, 13, 12))::BIGINT % {sharding.PRIME} AS b FROM d),
+s AS (SELECT uid, i, (a + i * {sharding.STEP}) % {sharding.PRIME} AS x, b FROM k, range(0, {SHARDS + 1}) r(i)),
+s2 AS (SELECT uid, i, ({_fifth('x')} + b) % {sharding.PRIME} AS y FROM s),
+s3 AS (SELECT uid, i, {_fifth('y')} AS draw FROM s2),
+best AS (SELECT uid, arg_max(i, draw * 64 - i) FILTER (i < {SHARDS})::INT AS shard, arg_max(i, draw * 64 - i)::INT AS grown_shard FROM s3 GROUP BY uid)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown_shard
+FROM d JOIN z USING (uid) JOIN best USING (uid)
 """
 
 _RULES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
@@ -340,6 +119,17 @@ m AS (SELECT s.page_id, s.host, s.path, r.h || r.p AS rule, r.verdict,
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1
 """
 
+_N = substring_dedup.WINDOW
+OP8 = rf"""
+WITH w AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT uid, doc_id, i, array_to_string(words[i : i + {_N - 1}], ' ') AS passage FROM (SELECT uid, doc_id, words, unnest(range(1, len(words) - {_N - 2})) AS i FROM w WHERE len(words) >= {_N})),
+f AS (SELECT uid, i, min(doc_id) OVER (PARTITION BY passage) < doc_id AS again FROM s),
+p AS (SELECT uid, doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+c AS (SELECT p.uid, p.i, p.word, coalesce(max(CASE WHEN f.again THEN p.i END) OVER (PARTITION BY p.uid ORDER BY p.i) >= p.i - {_N - 1}, false) AS gone FROM p LEFT JOIN f USING (uid, i)),
+k AS (SELECT uid, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY uid)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (uid)
+"""
+
 _W = f"""('0x' || substr(h, 1, 8))::BIGINT AS w0, ('0x' || substr(h, 9, 8))::BIGINT AS w1, ('0x' || substr(h, 17, 8))::BIGINT AS w2, ('0x' || substr(h, 25, 8))::BIGINT AS w3"""
 _LANES = f"range(0, {multiset_hash.SPARSE + multiset_hash.DENSE})"
 _S, _M = multiset_hash.SPARSE, multiset_hash.MODULUS
@@ -367,4 +157,11 @@ SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
   CASE WHEN u1 = 0 THEN 1.0::DOUBLE ELSE q1::DOUBLE / u1::DOUBLE END AS near_edited, CASE WHEN u2 = 0 THEN 1.0::DOUBLE ELSE q2::DOUBLE / u2::DOUBLE END AS near_next FROM c
 """
 
-ORACLES: dict[str, str] = {"op2_url_filter": OP2, "op9_multiset_fingerprint": OP9}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_url_filter, op3_simhash, op4_html_text, op5_toxicity, op6_packing, op7_token_count,
+        op8_substring_dedup, op9_multiset_fingerprint, op10_decontaminate,
+    )
+}
+ORACLES: dict[str, str] = {"op1_sharding": OP1, "op2_url_filter": OP2, "op8_substring_dedup": OP8, "op9_multiset_fingerprint": OP9}
