@@ -69,6 +69,47 @@ def test_slots_are_told_apart_by_the_match(spark):
     assert found[50]["text"] == "Title 50\ntext 50\nnever seen"
 
 
+def test_raw_elements_hold_no_tags(spark):
+    html = '<html><body><script>var c="<!--";</script><style>/* <p> */</style><article><p>real {0}</p><textarea><!-- </textarea><p>more {0}</p></article><p>after {0}</p></body></html>'
+    found = extract(spark, [(i, "http://r.com/", html.format(i)) for i in range(2)])
+    assert [found[i]["text"] for i in range(2)] == [f"real {i}\nmore {i}" for i in range(2)]
+
+
+def test_near_copies_are_no_template(spark):
+    body = "".join(f"<p>paragraph {k} with words of its own</p>" for k in range(12))
+    html = "<html><body><article><h1>Head</h1>{0}<p>end {1}</p></article></body></html>"
+    found = extract(spark, [(i, "http://n.com/", html.format(body, i)) for i in range(3)])
+    assert all(len(found[i]["text"].split("\n")) == 14 and found[i]["text"].startswith("Head\nparagraph 0") for i in range(3))
+
+
+def plain_text(pages, n):
+    """What the blocks of a page say that not all pages say in the same place; all pages have the same tags."""
+    import re
+
+    texts = [re.findall(r">([^<]+)<", p) for p in pages]
+    return "\n".join(t for k, t in enumerate(texts[n]) if len({x[k] for x in texts}) > 1)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_slots_alone_tell_pages_without_names(spark, seed):
+    rng = random.Random(seed)
+    tags = rng.sample("div p section h2 h3 h4 blockquote pre figure address center dl".split(), 12)  # unlike neighbours: no repeated group
+    fixed = [rng.random() < 0.4 for _ in tags]
+    words = lambda: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(9))
+    shared = [words() for _ in tags]
+    pages = ["<html><body>" + "".join(f"<{t}>{shared[k] if fixed[k] else words()}</{t}>" for k, t in enumerate(tags)) + "</body></html>" for _ in range(6)]
+    found = extract(spark, [(i, "http://plain.com/", p) for i, p in enumerate(pages)])
+    assert [found[i]["text"] for i in range(6)] == [plain_text(pages, i) for i in range(6)]
+    # without the wrapper the fixed slots would stay
+    assert not any(fixed) or html_extract.Host([]).text(pages[0]) != found[0]["text"]
+
+
+def test_very_long_page(spark):
+    long = "".join(f"<p>line {i} of many</p>" for i in range(60_000))
+    found = extract(spark, [(1, "http://l.com/", f"<article>{long}</article>"), (2, "http://l.com/", "<article><p>short</p></article>")])
+    assert found[1]["text"].count("\n") == 59_999 and found[2]["text"] == "short"
+
+
 def test_long_streams_are_aligned():
     odd = lambda n, k: "<body><article><p>fixed</p>" + "".join(f"<h{1 + (i * i + i // 7 * k) % 6}>t{n}</h{1 + (i * i + i // 7 * k) % 6}>" for i in range(3000)) + "<i>x</i><div>also fixed</div></article>"
     pages = [html_extract.Page(odd(n, n + 1)) for n in range(2)]
@@ -185,6 +226,22 @@ def test_packing_is_whole(spark):
     assert sum(sum(p["length"] for p in own) < packing.WINDOW for own in sequences.values()) <= 1
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_the_tokenizers(name):
+    from tokenizers import Tokenizer
+
+    tokenizer, ids = Tokenizer.from_file(tokenizer_file(name)), packing.Ids(tokenizer_file(name))
+    assert ids.whole == name.startswith("byte")
+    found = ids([(t or "").encode() for t in TEXTS])
+    for t, own in zip(TEXTS, found, strict=True):
+        assert np.frombuffer(own, ids.kind).tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_packing_of_rows_without_ids(spark):
+    found = packing.pack_documents(docs(spark, [(None, "a b"), (None, None), (3, "c")]), tokenizer_file("word_bpe_49k.json")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_tokens"]) for r in found) == [(False, 2), (True, 1), (True, 3)]
+
+
 def test_packing_of_repeats_and_nothing(spark):
     path = tokenizer_file("word_bpe_49k.json")
     assert packing.pack_documents(docs(spark, []), path).count() == 0
@@ -299,6 +356,13 @@ def test_leaks_are_those_of_brute_force(spark):
     assert found == sorted(expected) and any(d > 0 for _, _, d in found)
 
 
+def test_leaks_of_nameless_items_and_rows(spark):
+    items = [(None, "one nameless item of the benchmark"), (None, "another nameless item of it"), (3, "an item that has a name")]
+    rows = [(1, "so one nameless item of the benchmark and an item that has a name"), (None, "Another nameless item of it"), (2, "x" * 300_000 + " an item that has a name")]
+    found = decontaminate.find_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in found} == {(1, None, 0), (1, 3, 0), (None, None, 0), (2, 3, 0)} and len(found) == 4
+
+
 def test_leaks_of_nothing(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(docs(spark, [(1, "x")]), empty).count() == 0
