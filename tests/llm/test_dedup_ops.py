@@ -68,6 +68,31 @@ def test_near_duplicate_components(spark):
     assert sorted(map(tuple, found)) == expected
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_set_links_are_those_of_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    base = [rng.integers(0, 1 << 62, n, dtype=np.uint64) for n in (1, 2, 40, 60, 60, 300)]
+    sets = []
+    for _ in range(50):
+        own = base[rng.integers(len(base))]
+        own = own[rng.random(len(own)) > rng.choice([0.0, 0.05, 0.1, 0.3])]
+        sets.append(np.unique(np.concatenate([own, rng.integers(0, 1 << 62, 1 + len(own) // 12, dtype=np.uint64)])))
+    fps = np.array([simhash.majority(s) for s in sets], np.uint64)
+    ends = np.cumsum([0, *map(len, sets)])
+    places, roots = simhash.set_links(fps, np.concatenate(sets).view(np.int64), ends, 0.8)
+    parent = list(range(len(sets)))
+    for i, r in zip(places.tolist(), roots.tolist(), strict=True):
+        parent[i] = r
+    alike = lambda a, b: len(set(a.tolist()) & set(b.tolist())) >= 0.8 * len(set(a.tolist()) | set(b.tolist()))
+    plain = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if alike(sets[i], sets[j]) and plain[i] != plain[j]:
+                low, high = sorted((plain[i], plain[j]))
+                plain = [low if x == high else x for x in plain]
+    assert [[parent[i] == parent[j] for j in range(50)] for i in range(50)] == [[plain[i] == plain[j] for j in range(50)] for i in range(50)]
+
+
 def test_null_ids_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PIECE", 1 << 10)
     long = " ".join(f"w{i * i % 9973}" for i in range(70_000))

@@ -397,6 +397,8 @@ def set_links(fps: np.ndarray, values: np.ndarray, ends: np.ndarray, least: floa
         a, b = sizes[queries], sizes[candidates]
         close = np.minimum(a, b) >= least * np.maximum(a, b)
         queries, candidates = queries[close], candidates[close]
+        if not len(queries):
+            continue
         at = np.argsort(queries, kind="stable")
         queries, candidates = queries[at], candidates[at]
         first = np.nonzero(np.diff(queries, prepend=-1))[0]
