@@ -135,7 +135,7 @@ def test_collate_offsets(spark):
 
 def test_resume(spark):
     df = spark.range(12).withColumnRenamed("id", "place")
-    assert packing.suffix(df, 4, 3, 3).count() == 8 and packing.suffix(df, 4, 4, 3).count() == 12
+    assert packing.suffix(df.selectExpr("*", "3 as epoch"), 4, 3).count() == 8 and packing.suffix(df.selectExpr("*", "4 as epoch"), 4, 3).count() == 12
 
 
 def test_diff_statuses(spark):
@@ -179,7 +179,7 @@ def test_coverage_of_everything(spark):
 
 
 def test_packing_queries_hold_every_document(spark):
-    from trajspark.plans import selection_queries
+    from trajspark.plans import rule_queries, selection_queries
 
     at = "/root/testdata/sf0.01"
     rows = selection_queries.lpt_bfd_packing(spark, at).collect()
@@ -187,4 +187,4 @@ def test_packing_queries_hold_every_document(spark):
     over = {r["index"] for r in rows if r["update_id"] is None}
     assert over == {i for i, n in sizes.items() if n > 16384} and over
     assert {r["index"] for r in rows if r["update_id"] is not None} == set(sizes) - over
-    assert selection_queries.packing_violations(spark, at).first()["violations"] == 0
+    assert rule_queries.packing_violations(spark, at).first()["violations"] == 0

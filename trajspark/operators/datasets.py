@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from .. import scratch
 from ..functions import scalars, vectors
-from . import quality
+from . import order, quality
 
 
 def split_range(text: str) -> tuple[int, int]:
@@ -60,11 +61,19 @@ def lookup_or_blank(df: DataFrame, table: DataFrame, keys: list[str], values: li
 
 
 def locate(indexes: DataFrame, children: DataFrame) -> DataFrame:
-    """Global index to (child, local index): children have (child, length) and follow one another by child."""
-    before = Window.orderBy("child").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = children.select("child", "length", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("__from"))
+    """Global index to (child, local index): children have (child, length) and follow one another by child.
+
+    A child is filed under the cells of the index range that it reaches into,
+    cells as wide as the mean child; an index meets the children of its cell.
+    """
+    known = order.numbered(children.select("child", "length").filter("length > 0"), ["child"], "__place")
+    offsets = scratch.materialize(order.running_sum(known, "__place", "length", "__from").drop("__place"), "offsets")
+    size = offsets.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")).first()
+    width = max(1, size["total"] // max(1, size["n"]))
+    cells = offsets.withColumn("__cell", F.explode(F.expr(f"sequence(__from div {width}, (__from + length - 1) div {width})")))
+    joined = indexes.withColumn("__cell", F.expr(f"`index` div {width}")).join(cells, "__cell")
     inside = (F.col("index") >= F.col("__from")) & (F.col("index") < F.col("__from") + F.col("length"))
-    return indexes.join(F.broadcast(offsets), inside).select("index", "child", (F.col("index") - F.col("__from")).alias("local"))  # a row for each data set
+    return joined.filter(inside).select("index", "child", (F.col("index") - F.col("__from")).alias("local"))
 
 
 def with_parent(segments: DataFrame, parents: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -114,6 +123,12 @@ def first_and_last(rows: DataFrame, step: str, value: str) -> DataFrame:
     return rows.agg(F.min(value).alias("least"), F.max(value).alias("most"), F.min_by(value, step).alias("first"), F.max_by(value, step).alias("last"))
 
 
+def optional_extremes(rows: DataFrame, values: list[str]) -> DataFrame:
+    """Least and greatest number of optional text columns; what is no number counts as absent."""
+    numbers = {v: F.expr(f"try_cast(`{v}` as double)") for v in values}
+    return rows.agg(*[x for v, n in numbers.items() for x in (F.min(n).alias(f"{v}_least"), F.max(n).alias(f"{v}_most"))])
+
+
 def displacement(left: DataFrame, right: DataFrame, key: str, target: str) -> DataFrame:
     """Sum and maximum of planar distances between two layouts, and the target's own."""
     both = left.select(key, F.col("x").alias("x0"), F.col("y").alias("y0")).join(right.select(key, F.col("x").alias("x1"), F.col("y").alias("y1")), key)
@@ -145,10 +160,10 @@ def segment_digest(actions: Column, masks: Column) -> Column:
     return _segment_digest(actions, masks)
 
 
-def manifest_fingerprint(rows: DataFrame, order: str) -> DataFrame:
+def manifest_fingerprint(rows: DataFrame, by: str) -> DataFrame:
     """One digest of an ordered manifest (a bounded table)."""
-    others = [c for c in rows.columns if c != order]
-    listed = F.array_sort(F.collect_list(F.struct(order, F.to_json(F.struct(*sorted([order, *others]))).alias("j"))))
+    others = [c for c in rows.columns if c != by]
+    listed = F.array_sort(F.collect_list(F.struct(by, F.to_json(F.struct(*sorted([by, *others]))).alias("j"))))
     return rows.agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["j"]), "\n"), 256).alias("fingerprint"))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars
+from . import order as places
 
 
 def _sides(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -34,9 +34,7 @@ def first_difference(differences: DataFrame, keys: list[str]) -> DataFrame:
 
 def compare_positions(left: DataFrame, right: DataFrame, partition: list[str], order: list[str], field: str) -> DataFrame:
     """Streams compared place by place within each partition; the longer one's surplus shows as missing or extra."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    l = left.withColumn("place", F.row_number().over(w))
-    r = right.withColumn("place", F.row_number().over(w))
+    l, r = (places.numbered_within(side, partition, order, "place") for side in (left, right))
     return compare(l, r, [*partition, "place"], [field])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from . import order
 
 
 def result_status(succ: str, total: str, rate: str, expected: int) -> Column:
@@ -54,6 +55,16 @@ def result_order(results: DataFrame) -> DataFrame:
     return results.orderBy(F.col("succ_rate").desc_nulls_last(), "task")
 
 
+def places(results: DataFrame) -> DataFrame:
+    """The same order as a column: highest rate first, results without one last."""
+    return order.numbered(results, [F.col("succ_rate").desc_nulls_last(), F.col("task")], "place")
+
+
+def global_batch_means(batches: DataFrame, losses: list[str], labels: str) -> DataFrame:
+    """One row: each loss averaged over the batches of all ranks, the labels summed."""
+    return batches.agg(*[F.try_divide(F.sum(x), F.count(F.lit(1)).cast("double")).alias(f"mean_{x}") for x in losses], F.sum(labels).alias(labels), F.count(F.lit(1)).alias("batches"))
+
+
 def retry(expected_tasks: list[str], run, rounds: int) -> tuple[list[str], list[str]]:
     """Driver loop: run what is incomplete, at most ``rounds`` times. ``run(task, round)`` tells whether it is complete."""
     left, done = list(expected_tasks), []

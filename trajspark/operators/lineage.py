@@ -106,6 +106,11 @@ def comparable(records: DataFrame, drop: list[str]) -> DataFrame:
     return records.drop(*drop)
 
 
+def step_range(records: DataFrame, first: int, last: int, step: str = "optimizer_step") -> DataFrame:
+    """Records of the steps from first to last, both included."""
+    return records.filter(F.col(step).between(first, last))
+
+
 def target_times(frames: Column, stride: int = 4, prefix_frames: int = 4, real: Column | None = None) -> Column:
     """Padding prefix, real targets in order, padding tail: one slot for each action of a frame sequence."""
     prefix = stride * prefix_frames

@@ -13,9 +13,9 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars
+from . import order as places
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ class Limits:
 
 
 def draw(seed: int, epoch: str | Column, item: str | Column) -> Column:
-    return F.xxhash64(F.lit(seed).cast("long"), scalars.c(epoch).cast("long"), scalars.c(item).cast("long"))
+    return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), scalars.c(epoch).cast("string"), scalars.c(item).cast("string")))
 
 
 def occurrences(items: DataFrame, updates: DataFrame, per_update: int, n_items: int, seed: int) -> DataFrame:
@@ -44,11 +44,13 @@ def occurrences(items: DataFrame, updates: DataFrame, per_update: int, n_items:
     """
     uids = updates.select("update_id", F.explode(F.sequence(F.col("update_id") * per_update, (F.col("update_id") + 1) * per_update - 1)).alias("sample_uid"))
     uids = uids.withColumns({"epoch": F.floor(F.col("sample_uid") / F.lit(n_items)).cast("long"), "place": F.pmod("sample_uid", F.lit(n_items)).cast("long")})
-    epochs = uids.select("epoch").distinct()
-    order = Window.partitionBy("epoch").orderBy("draw", "index")
-    permuted = epochs.crossJoin(items.select("index")).withColumn("draw", draw(seed, "epoch", "index")).select(
-        "epoch", "index", (F.row_number().over(order) - 1).cast("long").alias("place")
-    )  # epochs of the wanted updates x items
+    ends = updates.agg(F.min("update_id"), F.max("update_id")).first()
+    first, last = ((u or 0) * per_update // n_items if n_items else 0 for u in (ends[0], (ends[1] or 0) + 1))
+    epochs = F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))
+    drawn = items.select("index", F.explode(epochs).alias("epoch")).join(uids.select("epoch").distinct(), "epoch", "left_semi")
+    drawn = drawn.withColumn("draw", draw(seed, "epoch", "index"))
+    # each epoch has all items, so a place over all epochs is one in its own
+    permuted = places.numbered(drawn, ["epoch", "draw", "index"], "place").withColumn("place", F.pmod(F.col("place") - 1, F.lit(n_items)))
     return uids.join(permuted, ["epoch", "place"]).select("update_id", "sample_uid", "epoch", "index")
 
 
@@ -169,18 +171,27 @@ def sample_fraction(items: DataFrame, key: str, ratio: float, seed: int, suite:
     """ceil(n * ratio) items, at least one, by hash rank: a sampling operator of its own."""
     n = items.count()
     take = max(1, -(-int(round(n * ratio * 1_000_000)) // 1_000_000)) if n else 0
-    return items.orderBy(F.xxhash64(F.lit(f"{seed}:{suite}"), F.col(key)), key).limit(take)
+    drawn = items.withColumn("__d", F.md5(F.concat_ws(":", F.lit(f"{seed}:{suite}"), F.col(key).cast("string"))))
+    return places.numbered(drawn, ["__d", key], "__r").filter(F.col("__r") <= take).drop("__d", "__r")
 
 
 def shard(items: DataFrame, order: list[str], n: int, k: int | None = None) -> DataFrame:
     """Round robin over the order: place modulo n; only shard k where one is named."""
-    rows = items.withColumn("shard", F.pmod(F.row_number().over(Window.orderBy(*order)) - 1, F.lit(n)).cast("int"))
+    rows = places.numbered(items, order, "shard").withColumn("shard", F.pmod(F.col("shard") - 1, F.lit(n)).cast("int"))
     return rows if k is None else rows.filter(F.col("shard") == k)
 
 
-def suffix(items: DataFrame, cursor: int, epoch: int, cursor_epoch: int, place: str = "place") -> DataFrame:
-    """What is left of an epoch after a resume; a new epoch starts from its beginning."""
-    return items.filter(F.col(place) >= (cursor if epoch == cursor_epoch else 0))
+def suffix(items: DataFrame, cursor: int, cursor_epoch: int, place: str = "place", epoch: str = "epoch") -> DataFrame:
+    """What is left after a resume: the cursor's epoch from its place on, and all of later epochs."""
+    return items.filter((F.col(epoch) > cursor_epoch) | ((F.col(epoch) == cursor_epoch) & (F.col(place) >= cursor)))
+
+
+def shared_layout(updates: DataFrame, ranks: int, seed: int) -> DataFrame:
+    """(update_id, rank, chunk, window): drawn once for an update, so every rank has the same."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("update_id").cast("string"), F.lit("layout")))
+    part = lambda k: F.conv(F.substring(digest, k, 8), 16, 10).cast("long")
+    rows = updates.select("update_id", (1 + part(1) % 4).alias("chunk"), (4 + part(9) % 61).alias("window"))
+    return rows.select("update_id", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1))).alias("rank"), "chunk", "window")
 
 
 class Cursor:
@@ -214,5 +225,3 @@ def epoch_counters(uid: str, per_batch: int, n_items: int) -> dict[str, Column]:
 
 def updates(spark: SparkSession, first: int, last: int) -> DataFrame:
     return spark.range(first, last).withColumnRenamed("id", "update_id")
-
-

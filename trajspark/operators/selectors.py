@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import scratch
+from . import order
+
 #: A budget from here on selects everything.
 WHOLE = 0.999
 
@@ -38,22 +41,21 @@ def greedy_to_budget(ranked: DataFrame, budget: float, segments: DataFrame) -> D
     """The shortest prefix by ``rank`` that covers the budget of distinct actions, its last segment included.
 
     An action counts where it first appears, so the sequential greedy is a
-    running sum over one row for each segment.
+    running sum over one row for each segment, dealt in runs of ranks.
     """
     if budget >= WHOLE:
         return segments
     keys = ["episode", "segment"]
     first = actions(ranked, "rank").groupBy("episode", "action").agg(F.min("rank").alias("rank"))
     new = first.groupBy("rank").agg(F.count(F.lit(1)).alias("new"))
-    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     counted = ranked.select(*keys, "rank").join(new, "rank", "left").fillna(0, ["new"])
-    counted = counted.withColumn("covered_before", F.coalesce(F.sum("new").over(before), F.lit(0)))
+    counted = order.running_sum(counted, "rank", "new", "covered_before")
     kept = counted.crossJoin(F.broadcast(target_actions(segments, budget))).filter("covered_before < target")
     return segments.join(kept.select(*keys, "rank"), keys)
 
 
-def ranked(segments: DataFrame, order: list[Column]) -> DataFrame:
-    return segments.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+def ranked(segments: DataFrame, by: list[Column]) -> DataFrame:
+    return order.numbered(segments, by, "rank")
 
 
 def round_robin(segments: DataFrame, within: list[Column]) -> DataFrame:
@@ -127,7 +129,7 @@ def select_uniform(segments: DataFrame, budget: float, **_) -> DataFrame:
 
 def select_random(segments: DataFrame, budget: float, seed: int = 42, **_) -> DataFrame:
     """Hash order within each episode, then round robin: the same at any partitioning."""
-    drawn = F.xxhash64(F.lit(seed), F.col("episode"), F.col("segment"))
+    drawn = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("episode").cast("string"), F.col("segment").cast("string")))
     return greedy_to_budget(round_robin(segments, [drawn, F.col("segment")]), budget, segments)
 
 
@@ -145,6 +147,8 @@ SELECTORS: dict[str, Callable[..., DataFrame]] = {
 def select(name: str, segments: DataFrame, budget: float, **context) -> DataFrame:
     if name not in SELECTORS:
         raise ValueError(f"unknown selector: {name}")
+    if budget < WHOLE and name != "full":
+        segments = scratch.materialize(segments, "segments")  # ranked, counted and joined below
     return SELECTORS[name](segments, budget, **context)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import accounting, diff, evaluation, lineage
+from ..operators import accounting, diff, evaluation, lineage, order
 from . import roles
 from .registry import query
 
@@ -96,7 +96,8 @@ def exposure_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lineage.label_exposure(roles.eligible(spark, sf_dir), roles.seen_of_eligible(spark, sf_dir), ["episode", "target_t"])
 
     def of(name: str, part: DataFrame) -> DataFrame:
-        return part.agg(*[F.round(v, 6).alias(k) for k, v in accounting.exact_quantiles("exposure_unweighted").items()]).select(F.lit(name).alias("support"), "p10", "p50", "p90", "p99")
+        found = order.quantiles(part, "exposure_unweighted", accounting.QUANTILES, 0.0)
+        return found.select(F.lit(name).alias("support"), *[F.round(k, 6).alias(k) for k in accounting.QUANTILES])
 
     return of("seen", rows.filter("seen")).unionByName(of("eligible", rows))
 
@@ -201,13 +202,6 @@ def wilson_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("task", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query("SELECT 'E_pad' AS metric, 1.0::DOUBLE AS value UNION ALL SELECT 'U_seen', 2.0")
-def metric_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old metric names under their newer ones."""
-    card = spark.createDataFrame([("padding", 1.0), ("U_seen", 2.0)], "metric string, value double")
-    return accounting.rename_metrics(card, {"padding": "E_pad"}).select("metric", "value")
-
-
 @query("""WITH a AS (SELECT 'rows' AS name, count(*)::DOUBLE AS actual FROM lineitem UNION ALL SELECT 'orders', count(DISTINCT l_orderkey)::DOUBLE FROM lineitem) SELECT name, actual, CASE name WHEN 'rows' THEN actual ELSE -1.0 END AS expected, name = 'rows' AS passed FROM a""")
 def assertion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named checks with tolerant equality; one passes, one fails."""

@@ -72,9 +72,9 @@ def event_stage_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("episode", "segment", "rank")
 
 
-@query()
+@query(f"WITH {roles.SEGMENTS}, turns AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY md5('7:' || episode || ':' || segment), segment) AS turn FROM segs), {_greedy_sql('turn, episode', 'turns')} SELECT episode, segment::INT AS segment, rank FROM kept")
 def random_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash-ordered random selection; SQL lacks the hash (invariants are tested)."""
+    """Hash-ordered random selection, round robin over episodes."""
     return selectors.select("random", roles.segments(spark, sf_dir), BUDGET, seed=7).select("episode", "segment", "rank")
 
 
@@ -209,12 +209,6 @@ def packing_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(planned, LIMITS)
 
 
-@query("SELECT 0::BIGINT AS violations")
-def packing_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned, items = _plan(spark, sf_dir)
-    return packing.plan_violations(planned, items, LIMITS).agg(F.count(F.lit(1)).alias("violations"))
-
-
 @query("""WITH g AS (SELECT label, list(vec_id ORDER BY vec_id) AS ids, list(vec_id % 5 + 1 ORDER BY vec_id) AS lens FROM embeddings GROUP BY 1)
 SELECT label, len(ids) AS items, list_sum(lens)::BIGINT AS total, (list_sum(lens) - lens[-1])::BIGINT AS last_offset FROM g""")
 def packed_collate(spark: SparkSession, sf_dir: str) -> DataFrame:

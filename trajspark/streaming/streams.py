@@ -139,3 +139,20 @@ def status_snapshots(stream: DataFrame, target: str, checkpoint: str):
         batch.withColumn("batch", F.lit(n)).write.mode("append").json(target)
 
     return sums.writeStream.outputMode("complete").foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def next_action(requests: DataFrame, actions: DataFrame) -> DataFrame:
+    """Replay: the n-th call of a session gets the action at step n of the recording; calls past its end get none."""
+
+    def count(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (called,) = state.get if state.exists else (0,)
+        rows = []
+        for frame in frames:
+            for seq in sorted(frame["seq"].tolist()):
+                rows.append((k[0], int(seq), called))
+                called += 1
+        state.update((called,))
+        yield pd.DataFrame(rows, columns=["session", "seq", "step"])
+
+    calls = requests.groupBy("session").applyInPandasWithState(count, "session long, seq long, step long", "called long", "append", GroupStateTimeout.NoTimeout)
+    return calls.join(actions, "step", "left")
