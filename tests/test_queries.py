@@ -52,5 +52,19 @@ def test_imports_without_the_corpus_operators(tmp_path):
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root / "trajspark", tmp_path / "trajspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copytree(root / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'resource_card' in q and not any(k.startswith('op1') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+    rest = [sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_sequences.py", "tests/test_order.py"]
+    subprocess.run(rest, cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=600)
+
+
+def test_only_absence_of_the_corpus_operators_is_passed_over(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    (tmp_path / "corpus_pipeline.py").write_text("import something_that_is_not_there\n")
+    root = Path(__file__).resolve().parent.parent
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": f"{tmp_path}{os.pathsep}{root}"}, capture_output=True, timeout=120)
+    assert run.returncode and b"something_that_is_not_there" in run.stderr
