@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,8 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Used only where the session names no ``spark.checkpoint.dir`` (tests on one machine).
-LOCAL_SCRATCH = "/tmp/checkpoints"
+from ..scratch import materialize, release  # noqa: F401  (for the operators of this subpackage)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,35 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else f"{LOCAL_SCRATCH}/{os.getpid()}"
-
-
-_WRITTEN: list[str] = []
-
-
-def release(spark: SparkSession) -> None:
-    """Remove the scratch tables that this process wrote; DataFrames that read them are no longer usable."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared scratch folder and read it.
-
-    A lost executor costs only the tasks it ran: what is written stays.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Smaller batches over the same memory: what a Python worker unpacks at once stays small."""
     for batch in batches:

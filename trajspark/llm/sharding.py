@@ -22,7 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from ..operators import order
+from .common import materialize
 
 PRIME = 2147483647
 STEP = 40503793
@@ -82,8 +83,8 @@ def shard_documents(
     """Shard and slot of every row, and its shard after growing.
 
     The slot is the row's gapless place in its shard (ordered by key, then
-    CRC and size), found bucket by bucket: no shard is gathered in one task,
-    and the texts themselves are never shuffled.
+    CRC and size), found by ranges of the whole order: no shard is gathered in
+    one task, and the texts themselves are never shuffled.
     """
     grown = list(grown_weights) if grown_weights is not None else [*weights, sum(weights) / len(weights)]
     body = F.coalesce(F.col(text), F.lit(""))
@@ -96,9 +97,8 @@ def shard_documents(
     ).select(
         "doc_id", "size", "text_crc32", "law", F.col("__both")[0].alias("shard"), F.col("__both")[1].alias("grown_shard")
     )
-    buckets = common.bucket_count(docs.select(key).count(), len(weights))
-    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets))
-    ranked = common.with_rank(
-        rows, "shard", [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")], bucket, "slot",
-    )
+    # written once: only ids, sizes and CRCs are dealt out, and no text is read again
+    rows = materialize(rows, "shards")
+    ranked = order.numbered_within(rows, ["shard"], [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")], "slot")
+    ranked = ranked.withColumn("slot", F.col("slot") - 1)
     return ranked.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
