@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from trajspark.llm import common, multiset_hash, queries, sharding, url_filter
+from trajspark.llm import multiset_hash, queries, sharding, url_filter
 
 DOCS = "doc_id long, text string"
 
@@ -50,9 +50,8 @@ def test_shards_are_near_their_weights(spark):
     assert all(850 < n < 1150 for n in found.values()) and len(found) == 8
 
 
-def test_slots_over_many_buckets(spark, monkeypatch):
-    monkeypatch.setattr(common, "bucket_count", lambda *_: 7)
-    found = sharding.shard_documents(docs(spark, [(i % 50, "x") for i in range(400)]), [1.0, 1.0]).collect()
+def test_slots_of_repeated_keys(spark):
+    found = sharding.shard_documents(docs(spark, [(i % 50, "x") for i in range(400)]).repartition(9), [1.0, 1.0]).collect()
     for s in (0, 1):
         slots = sorted(r["slot"] for r in found if r["shard"] == s)
         assert slots == list(range(len(slots)))

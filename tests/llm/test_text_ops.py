@@ -292,15 +292,18 @@ def plain_count(vocabulary, word):
     return -best[-1][1]
 
 
-def test_token_counts(spark):
+def test_token_counts(spark, monkeypatch):
+    monkeypatch.setattr(token_count, "TRIE_WORDS", 5)
     path = tokenizer_file("piece_bpe_32k.model")
     vocabulary = token_count.Vocabulary.from_model(path)
     texts = [None, "", "the theme, then 東京 thematic\u00a0x", "inter internal international 😀", "the the", "a" * 3000]
-    rows = list(enumerate(texts)) + [(1, "the")]
+    rows = list(enumerate(texts)) + [(1, "the"), (None, "no id")]
     frame = docs(spark, rows).selectExpr("*", "1 as n_tokens")
-    found = sorted(tuple(r) for r in token_count.count_tokens(frame, path).collect())
-    expected = sorted((i, len((t or "").split()), sum(plain_count(vocabulary, w) for w in (t or "").split())) for i, t in rows)
+    found = sorted((tuple(r) for r in token_count.count_tokens(frame, path).collect()), key=repr)
+    expected = sorted(((i, len((t or "").split()), sum(plain_count(vocabulary, w) for w in (t or "").split())) for i, t in rows), key=repr)
     assert found == expected
+    words = sorted({w for t in texts for w in (t or "").split()}) * 2
+    assert vocabulary.counts(words) == [plain_count(vocabulary, w) for w in words]
     assert token_count.count_tokens(docs(spark, []), path).count() == 0
 
 

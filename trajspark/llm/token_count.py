@@ -6,12 +6,12 @@ the logarithm of its rank (a Zipf estimate; no scores are trained).  A word's
 tokens are those of its best-scoring segmentation (ties: fewer tokens);
 characters outside the vocabulary fall back to one token for each UTF-8 byte.
 
-The distinct words of a batch are inserted in a trie, which is walked in
-order: forward scores along a path are computed once for all words that share
-it, and each word's count is stored where it ends.
+The distinct words of a batch are inserted in a trie, which is walked from
+its root: the forward score of a node is computed once for all words that
+share its prefix, and each word's count is taken where it ends.
 
 Defined results: null and empty texts have no words and no tokens; each row
-is counted by itself; an empty table gives an empty result; other columns are ignored.
+is counted by itself, one with a null doc_id too; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced
-
 from .piece_cache import PieceCache
 
 MARK = "▁"
 #: Distinct words whose counts a worker keeps, in each of two generations.
 CACHE_ROOM = 500_000
-SCORE = 0  # key of a vocabulary node's score; children have one-character keys
+#: Distinct words inserted in one trie.
+TRIE_WORDS = 16_384
+SCORE, ENDS = 0, 0  # key of a vocabulary node's score, and of the words that end in a node; children have one-character keys
 
 
 class Vocabulary:
@@ -57,38 +58,47 @@ class Vocabulary:
         return cls([model.id_to_piece(i) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))])
 
     def counts(self, words: list[str]) -> list[int]:
-        """Tokens of each word: one pass over the words' trie in sorted order."""
+        """Tokens of each word, trie by trie of at most ``TRIE_WORDS`` distinct words."""
+        out: list[int] = []
+        for at in range(0, len(words), TRIE_WORDS):
+            out += self._trie_counts(words[at : at + TRIE_WORDS])
+        return out
+
+    def _trie_counts(self, words: list[str]) -> list[int]:
+        """The words are inserted in a trie; each of its nodes is scored once, for all words that go through it."""
+        top: dict = {}
+        for k, word in enumerate(words):
+            node = top
+            for c in MARK + word:
+                node = node.setdefault(c, {})
+            node.setdefault(ENDS, []).append(k)
         root, byte_score = self.root, self.byte_score
-        order = sorted(range(len(words)), key=words.__getitem__)
         out = [0] * len(words)
-        path = ""
-        # best[j] = (score, -tokens) of the first j characters; alive[j] = vocabulary nodes reached by text that ends at j
+        # along the path to the node in hand: best[j] = (score, -tokens) of its first j characters,
+        # alive[j] = vocabulary nodes reached by text that ends at j, with the score where they began
         best: list[tuple[float, int]] = [(0.0, 0)]
         alive: list[list[tuple[dict, tuple[float, int]]]] = [[]]
-        for k in order:
-            word = MARK + words[k]
-            shared, most = 0, min(len(path), len(word))
-            while shared < most and path[shared] == word[shared]:
-                shared += 1
-            del best[shared + 1 :], alive[shared + 1 :]
-            for j in range(shared, len(word)):
-                c, here = word[j], best[j]
-                size = len(c.encode("utf-8", "surrogatepass"))
-                top = (here[0] + byte_score * size, here[1] - size)
-                reached = []
-                for node, start in (*alive[j], (root, here)):
-                    child = node.get(c)
-                    if child is not None:
-                        reached.append((child, start))
-                        score = child.get(SCORE)
-                        if score is not None:
-                            found = (start[0] + score, start[1] - 1)
-                            if found > top:
-                                top = found
-                best.append(top)
-                alive.append(reached)
-            path = word
-            out[k] = -best[len(word)][1]
+        ahead = [(0, c, child) for c, child in top.items()]
+        while ahead:
+            j, c, node = ahead.pop()
+            del best[j + 1 :], alive[j + 1 :]
+            here, size = best[j], len(c.encode("utf-8", "surrogatepass"))
+            most = (here[0] + byte_score * size, here[1] - size)
+            reached = []
+            for at, start in (*alive[j], (root, here)):
+                child = at.get(c)
+                if child is not None:
+                    reached.append((child, start))
+                    score = child.get(SCORE)
+                    if score is not None:
+                        found = (start[0] + score, start[1] - 1)
+                        if found > most:
+                            most = found
+            best.append(most)
+            alive.append(reached)
+            for k in node.pop(ENDS, ()):
+                out[k] = -most[1]
+            ahead += [(j + 1, x, child) for x, child in node.items()]
         return out
 
 
