@@ -115,15 +115,30 @@ def test_url_rules_on_nothing(spark):
 
 
 def plain_vector(text):
-    lanes = [0] * (multiset_hash.SPARSE + multiset_hash.DENSE)
-    for line in text.split("\n"):
-        for at in range(0, len(line), multiset_hash.PIECE):
-            h = hashlib.md5(line[at : at + multiset_hash.PIECE].encode()).hexdigest()
-            w = [int(h[8 * k : 8 * k + 8], 16) for k in range(4)]
-            lanes[w[0] % multiset_hash.SPARSE] += (w[0] >> 6) * 64 + w[1] % 64 + 1
-            for k in range(multiset_hash.DENSE):
-                lanes[multiset_hash.SPARSE + k] += w[k]
-    return [x % multiset_hash.MODULUS for x in lanes]
+    import re
+
+    lanes, m = [0] * (multiset_hash.SPARSE + multiset_hash.DENSE), multiset_hash.MODULUS
+    for paragraph in re.findall(multiset_hash.PARAGRAPH, text):
+        h = hashlib.md5(paragraph.encode()).hexdigest()
+        w = [int(h[8 * k : 8 * k + 8], 16) for k in range(4)]
+        for s in range(multiset_hash.STRATA):
+            if w[2] % 4**s == 0:
+                lanes[s * multiset_hash.LANES + w[0] % multiset_hash.LANES] += (w[0] * 4 + w[1] % 4 + 1) % (m - 1) + 1
+        for k in range(multiset_hash.DENSE):
+            lanes[multiset_hash.SPARSE + k] += w[k]
+    return [x % m for x in lanes]
+
+
+def plain_likeness(a, b):
+    n, found = multiset_hash.LANES, []
+    for s in range(multiset_hash.STRATA):
+        pairs = [(x, y) for x, y in zip(a[s * n : s * n + n], b[s * n : s * n + n], strict=True) if x or y]
+        found.append((len(pairs), sum(x == y for x, y in pairs)))
+    at = next((s for s, (used, _) in enumerate(found) if used <= multiset_hash.CROWDED), multiset_hash.STRATA - 1)
+    if at and found[at][0] < multiset_hash.CROWDED // 4:
+        at -= 1
+    used, same = found[at]
+    return same / used if used else 1.0
 
 
 def test_fingerprints(spark, monkeypatch):
@@ -140,10 +155,22 @@ def test_fingerprints(spark, monkeypatch):
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert r["fingerprint"] == "".join(f"{x:08x}" for x in plain_vector(text))
         assert r["edited_fingerprint"] == "".join(f"{x:08x}" for x in plain_vector(edited))
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        assert r["near_edited"] == plain_likeness(plain_vector(text), plain_vector(edited))
+        assert r["near_next"] == plain_likeness(plain_vector(text), plain_vector(after))
     assert found[20]["fingerprint"] == found[30]["fingerprint"] == found[40]["fingerprint"] and found[30]["near_next"] == 1.0
 
 
+def test_likeness_holds_for_all_lengths_and_keys_far_apart(spark, monkeypatch):
+    monkeypatch.setattr(multiset_hash, "PER_BUCKET", 4)
+    text = lambda n, seed: "\n".join(hashlib.md5(f"{seed} {i}".encode()).hexdigest() for i in range(n))
+    rows = [((1 << 60) if n == 0 else n, text(k, n), "x") for n, k in enumerate([3000, 9, 30, 100, 1000, 4000, 8000, 60, 15, 20])] + [(None, "", "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string").repartition(4)
+    found = multiset_hash.fingerprint_documents(frame).collect()
+    near = {r["doc_id"]: r["near_edited"] for r in found}
+    assert len(found) == 11 and all(near[i] > 0.15 for i in near if i and len(dict((a, b) for a, b, _ in rows)[i]) > 2000)
+    assert all(r["near_next"] < 0.1 for r in found if r["doc_id"] is not None)
+
+
 def test_fingerprints_of_one_none_and_repeats(spark):
     one = multiset_hash.fingerprint_documents(docs(spark, [(5, "abcdef")])).first()
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()

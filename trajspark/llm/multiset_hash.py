@@ -1,13 +1,16 @@
 """Homomorphic multiset fingerprints (DataFrame functions only).
 
-A text is the multiset of its paragraphs: its lines, those of more than
-``PIECE`` characters cut into pieces of that length from the line's start.
-MD5 hashes a paragraph to a wide vector: one of ``SPARSE`` lanes gets a
-non-zero 32-bit value, and each of ``DENSE`` lanes gets 32 bits.  The
-fingerprint is the sum of the vectors modulo 2^32 in each lane, so it doesn't
-depend on order, and inserting or deleting a paragraph adds or subtracts its
-vector.  All lanes decide equality; the share of equal lanes among those that
-either text uses estimates how much of the two multisets agrees.
+A text is the multiset of its paragraphs: the sentences of its lines, those of
+more than ``PIECE`` characters cut into pieces of that length from their start.
+MD5 hashes a paragraph to a wide vector: each of ``DENSE`` lanes gets 32 bits,
+and in each stratum that the paragraph is in, one of ``LANES`` lanes gets a
+non-zero 32-bit value.  All paragraphs are in stratum 0, a quarter of them in
+stratum 1, a sixteenth in stratum 2, and so on.  The fingerprint is the sum of
+the vectors modulo 2^32 in each lane, so it doesn't depend on order, and
+inserting or deleting a paragraph adds or subtracts its vector.  All lanes
+decide equality.  The share of equal lanes among those that either text uses
+estimates how much of the two multisets agrees; it is taken from the first
+stratum that isn't crowded, so that it holds for short and long texts alike.
 
 Defined results: a null text is the empty text, whose vector is zero; two
 zero vectors are alike (1.0); rows of one doc_id stand in the order of their
@@ -23,14 +26,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PIECE, SPARSE, DENSE = 128, 64, 4
+PIECE, DENSE = 128, 4
+#: A line, or a sentence of it with what closes it, or the first characters of a longer one.
+PARAGRAPH = rf"[^\n.!?]{{1,{PIECE}}}[.!?]*|[.!?]{{1,{PIECE}}}"
+#: Strata, lanes of each, and lanes in use from which a stratum is crowded.
+STRATA, LANES, CROWDED = 6, 32, 24
+SPARSE = STRATA * LANES
 MODULUS = 1 << 32
-#: Cells into which the range of doc_ids is cut to deal rows out in order, and rows aimed at for a bucket of cells.
-CELLS, PER_BUCKET = 8192, 4_000
+#: Rows aimed at for a run of the key order, and most runs.
+PER_BUCKET, MOST_BUCKETS = 4_000, 1 << 16
 
 
 def paragraphs(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{PIECE}}}"), 0)
+    return F.regexp_extract_all(text, F.lit(PARAGRAPH), 0)
 
 
 def vector(text: Column) -> Column:
@@ -43,26 +51,33 @@ def vector(text: Column) -> Column:
         return F.transform(
             F.array(F.md5(paragraph.cast("binary"))),
             lambda d: F.struct(
-                (word(d, 0) % SPARSE).alias("lane"),
-                (F.shiftright(word(d, 0), 6) * 64 + word(d, 1) % 64 + 1).alias("value"),
-                *[word(d, k).alias(f"d{k}") for k in range(4)],
+                (word(d, 0) % LANES).alias("lane"), (word(d, 0) * 4 + word(d, 1) % 4 + 1).alias("value"), word(d, 2).alias("level"),
+                *[word(d, k).alias(f"d{k}") for k in range(DENSE)],
             ),
         )
 
-    def summed(hashed: Column) -> Column:
-        sparse = F.transform(
-            F.sequence(F.lit(0), F.lit(SPARSE - 1)),
+    def stratum(hashed: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(LANES - 1)),
             lambda lane: F.aggregate(
                 F.filter(hashed, lambda p: p["lane"] == lane), F.lit(0).cast("long"),
-                lambda acc, p: (acc + p["value"]) % MODULUS,
+                lambda acc, p: (acc + p["value"] % (MODULUS - 1) + 1) % MODULUS,
             ),
         )
 
+    def summed(hashed: Column) -> Column:
+        """A stratum's paragraphs are those of the one before whose level is a multiple of the next power of four."""
+
+        def within(s: int) -> Column:  # a lambda argument: filtered once for all lanes
+            kept = F.filter(hashed, lambda p: p["level"] % 4**s == 0) if s else hashed
+            return F.transform(F.array(kept), stratum)[0]
+
+        strata = [within(s) for s in range(STRATA)]
+
         def dense_lane(k: int) -> Column:
             return F.aggregate(hashed, F.lit(0).cast("long"), lambda acc, p: (acc + p[f"d{k}"]) % MODULUS)
 
-        dense = [dense_lane(k) for k in range(DENSE)]
-        return F.concat(sparse, F.array(*dense))
+        return F.concat(*strata, F.array(*[dense_lane(k) for k in range(DENSE)]))
 
     # hashed once: the array of structs is a lambda argument
     hashed = F.flatten(F.transform(paragraphs(text), parts))
@@ -84,37 +99,48 @@ def to_hex(lanes: Column) -> Column:
 
 
 def likeness(left: Column, right: Column) -> Column:
-    """Equal lanes over lanes in use, of the sparse lanes; 1.0 for two zero vectors."""
+    """Equal lanes over lanes in use, in the first stratum that isn't crowded (the last, if all are).
+
+    A stratum with under a quarter of that use tells less than the one before
+    it, which is taken instead; two zero vectors are alike (1.0).
+    """
     seen = F.zip_with(
         F.slice(left, 1, SPARSE), F.slice(right, 1, SPARSE),
         lambda a, b: F.when((a == 0) & (b == 0), 0).when(a == b, 2).otherwise(1),
     )
-    used = F.size(F.filter(seen, lambda x: x > 0))
-    same = F.size(F.filter(seen, lambda x: x == 2))
-    return F.when(used == 0, F.lit(1.0)).otherwise(same.cast("double") / used.cast("double"))
+
+    def counted(lanes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(STRATA - 1)), lambda s: F.struct(
+            F.size(F.filter(F.slice(lanes, s * LANES + 1, LANES), lambda x: x > 0)).alias("used"),
+            F.size(F.filter(F.slice(lanes, s * LANES + 1, LANES), lambda x: x == 2)).alias("same"),
+        ))
+
+    def chosen(strata: Column) -> Column:
+        first = F.aggregate(strata, F.lit(0), lambda at, s: at + F.when(
+            (at < STRATA - 1) & (F.get(strata, at)["used"] > CROWDED), 1).otherwise(0))
+        return F.transform(F.array(first), lambda k: F.get(strata, F.when((k > 0) & (F.get(strata, k)["used"] < CROWDED // 4), k - 1).otherwise(k)))[0]
+
+    best = F.transform(F.array(F.transform(F.array(seen), counted)[0]), chosen)
+    return F.transform(best, lambda s: F.when(s["used"] == 0, F.lit(1.0)).otherwise(s["same"].cast("double") / s["used"].cast("double")))[0]
 
 
-def deal_in_order(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """Adds ``__bucket``: runs of the descending key order, of about ``PER_BUCKET`` rows.
+def deal_in_order(docs: DataFrame, key: str) -> DataFrame:
+    """Adds ``__bucket``: runs of the descending key order, of about ``PER_BUCKET`` rows, nulls in the last.
 
-    The key range is cut into ``CELLS`` cells of equal width, counted over all
-    rows; neighbouring cells share a bucket until it is full.  What is
-    collected, and the literal that maps cells to buckets, is bounded by ``CELLS``.
+    The runs' ends are quantiles of the keys of all rows, however these lie;
+    their list is bounded by ``MOST_BUCKETS``.
     """
-    ends = docs.agg(F.min(key), F.max(key)).first()
-    low, high = (0, 0) if ends[0] is None else ends
-    width = -(-(high - low + 1) // CELLS)
-    cell = F.coalesce(F.floor((F.lit(high) - F.col(key)) / F.lit(float(width))).cast("int"), F.lit(CELLS))
-    celled = docs.withColumn("__cell", F.least(cell, F.lit(CELLS)))
-    counts = dict(celled.groupBy("__cell").count().collect())
-    to, bucket, held = [], 0, 0
-    for c in range(CELLS + 1):
-        if held and held + counts.get(c, 0) > PER_BUCKET:
-            bucket, held = bucket + 1, 0
-        to.append(bucket)
-        held += counts.get(c, 0)
-    where = F.element_at(F.lit(to), F.col("__cell") + 1)
-    return celled.withColumn("__bucket", where).drop("__cell"), bucket + 1
+    ends = min(MOST_BUCKETS, docs.count() // PER_BUCKET)
+    if not ends:
+        return docs.withColumn("__bucket", F.lit(0))
+    shares = F.lit([(i + 1) / (ends + 1) for i in range(ends)])
+    found = docs.agg(F.percentile_approx(key, shares, F.lit(max(10_000, 10 * ends))).alias("q")).first()["q"] or []
+    bounds = sorted(set(found), reverse=True)
+    steps = F.lit([1 << k for k in reversed(range(max(1, len(bounds)).bit_length()))])
+    known = F.lit(bounds).cast("array<bigint>")
+    # as many leading bounds as are greater than the key, by halving
+    place = F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.get(known, at + s - 1) > F.col(key), s).otherwise(0))
+    return docs.withColumn("__bucket", F.when(F.col(key).isNull(), F.lit(len(bounds))).otherwise(place))
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -124,11 +150,11 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     first row of each bucket goes into the bucket before it as well.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows, _ = deal_in_order(rows, "doc_id")
+    rows = deal_in_order(rows, "doc_id")
     rows = rows.withColumn("__tie", F.sha2(F.col("text").cast("binary"), 256))
     firsts = rows.groupBy("__bucket").agg(
         F.max(F.struct(F.col("doc_id").isNotNull().alias("k"), F.col("doc_id").alias("id"))).alias("first")
-    ).collect()  # one row for each bucket: at most CELLS + 1
+    ).collect()  # one row for each bucket: at most MOST_BUCKETS + 1
     order = sorted((r["__bucket"], r["first"]["id"]) for r in firsts)
     before = [(order[i][1], order[i - 1][0]) for i in range(len(order))]
     halo = docs.sparkSession.createDataFrame(before, "__id long, __to int")

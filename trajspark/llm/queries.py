@@ -131,30 +131,42 @@ SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGI
 """
 
 _W = f"""('0x' || substr(h, 1, 8))::BIGINT AS w0, ('0x' || substr(h, 9, 8))::BIGINT AS w1, ('0x' || substr(h, 17, 8))::BIGINT AS w2, ('0x' || substr(h, 25, 8))::BIGINT AS w3"""
-_LANES = f"range(0, {multiset_hash.SPARSE + multiset_hash.DENSE})"
-_S, _M = multiset_hash.SPARSE, multiset_hash.MODULUS
+_K, _S, _M, _L = multiset_hash.LANES, multiset_hash.SPARSE, multiset_hash.MODULUS, multiset_hash.STRATA
+_PARAGRAPH = multiset_hash.PARAGRAPH.replace("\\n", "\n")
+
+
+def _likeness(left: str, right: str) -> str:
+    """Of the first stratum that isn't crowded, or the one before it where that one tells little."""
+    lanes = f"list_zip({left}[s * {_K} + 1 : s * {_K} + {_K}], {right}[s * {_K} + 1 : s * {_K} + {_K}])"
+    used, same = f"[len([x for x in {lanes} if x[1] <> 0 OR x[2] <> 0]) for s in range({_L})]", f"[len([x for x in {lanes} if x[1] <> 0 AND x[1] = x[2]]) for s in range({_L})]"
+    return f"struct_pack(used := {used}, same := {same})"
+
+
+_FIRST = f"coalesce(list_min([k for k in range({_L}) if u.used[k + 1] <= {multiset_hash.CROWDED}]), {_L - 1})"
 OP9 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), first_value(doc_id) OVER (ORDER BY doc_id DESC)) AS next_id,
         coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text FROM d),
 e AS (SELECT doc_id, next_id, text, substr(text, 1, length(text) - length(text) // 3) || substr(next_text, 1, length(text) // 3) AS edited FROM n),
 t AS (SELECT doc_id, 0 AS which, text AS body FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
-p AS (SELECT doc_id, which, md5(unnest(regexp_extract_all(body, '[^\\n]{{1,{multiset_hash.PIECE}}}'))) AS h FROM t),
+p AS (SELECT doc_id, which, md5(unnest(regexp_extract_all(body, '{_PARAGRAPH}'))) AS h FROM t),
 w AS (SELECT doc_id, which, {_W} FROM p),
-l AS (SELECT doc_id, which, w0 % {_S} AS lane, (w0 >> 6) * 64 + w1 % 64 + 1 AS v FROM w
+l AS (SELECT doc_id, which, s * {_K} + w0 % {_K} AS lane, (w0 * 4 + w1 % 4 + 1) % {_M - 1} + 1 AS v FROM w, range(0, {_L}) r(s) WHERE w2 % (4 ** s)::BIGINT = 0
       UNION ALL SELECT doc_id, which, {_S}, w0 FROM w UNION ALL SELECT doc_id, which, {_S} + 1, w1 FROM w
       UNION ALL SELECT doc_id, which, {_S} + 2, w2 FROM w UNION ALL SELECT doc_id, which, {_S} + 3, w3 FROM w),
 g AS (SELECT doc_id, which, lane, (sum(v) % {_M})::BIGINT AS v FROM l GROUP BY ALL),
-a AS (SELECT t.doc_id, t.which, i AS lane, coalesce(g.v, 0) AS v FROM t CROSS JOIN {_LANES} r(i)
+a AS (SELECT t.doc_id, t.which, i AS lane, coalesce(g.v, 0) AS v FROM t CROSS JOIN range(0, {_S + multiset_hash.DENSE}) r(i)
       LEFT JOIN g ON g.doc_id = t.doc_id AND g.which = t.which AND g.lane = i),
 f AS (SELECT doc_id, which, string_agg(lpad(printf('%x', v), 8, '0'), '' ORDER BY lane) AS fp, list(v ORDER BY lane) FILTER (lane < {_S}) AS s FROM a GROUP BY ALL),
 j AS (SELECT e.doc_id, e.text, e.edited, f0.fp AS fp, f1.fp AS edited_fp, f0.s AS s0, f1.s AS s1, f2.s AS s2 FROM e
       JOIN f f0 ON f0.doc_id = e.doc_id AND f0.which = 0 JOIN f f1 ON f1.doc_id = e.doc_id AND f1.which = 1
       JOIN f f2 ON f2.doc_id = e.next_id AND f2.which = 0),
-c AS (SELECT *, len([x for x in list_zip(s0, s1) if x[1] <> 0 OR x[2] <> 0]) AS u1, len([x for x in list_zip(s0, s1) if x[1] <> 0 AND x[1] = x[2]]) AS q1,
-        len([x for x in list_zip(s0, s2) if x[1] <> 0 OR x[2] <> 0]) AS u2, len([x for x in list_zip(s0, s2) if x[1] <> 0 AND x[1] = x[2]]) AS q2 FROM j)
-SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fp AS fingerprint, edited_fp AS edited_fingerprint,
-  CASE WHEN u1 = 0 THEN 1.0::DOUBLE ELSE q1::DOUBLE / u1::DOUBLE END AS near_edited, CASE WHEN u2 = 0 THEN 1.0::DOUBLE ELSE q2::DOUBLE / u2::DOUBLE END AS near_next FROM c
+c AS (SELECT doc_id, text, edited, fp, edited_fp, kind, u, {_FIRST} AS k FROM
+      (SELECT *, 0 AS kind, {_likeness('s0', 's1')} AS u FROM j UNION ALL SELECT *, 1, {_likeness('s0', 's2')} FROM j)),
+b AS (SELECT *, CASE WHEN k > 0 AND u.used[k + 1] < {multiset_hash.CROWDED // 4} THEN k ELSE k + 1 END AS pos FROM c),
+r AS (SELECT *, CASE WHEN u.used[pos] = 0 THEN 1.0::DOUBLE ELSE u.same[pos]::DOUBLE / u.used[pos]::DOUBLE END AS near FROM b)
+SELECT doc_id, any_value(length(text))::BIGINT AS n_chars, any_value(sha256(edited)) AS edited_sha256, any_value(fp) AS fingerprint, any_value(edited_fp) AS edited_fingerprint,
+  max(near) FILTER (kind = 0) AS near_edited, max(near) FILTER (kind = 1) AS near_next FROM r GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

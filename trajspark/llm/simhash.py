@@ -47,6 +47,8 @@ MAX_BITS, SHINGLE, SEED = 4, 4, 42
 FAN = 8
 #: Fingerprints aimed at for a group; groups with more than GROUP_LIMIT are cut into parts.
 GROUP, GROUP_LIMIT = 4_096, 50_000
+#: Rows of groups aimed at for a task, and most tasks.
+TASK_ROWS, MOST_TASKS = 1 << 15, 20_000
 #: Places of queries searched together times fingerprints, and pairs of query and node looked at together.
 QUERIES, PIECE = 1 << 22, 1 << 16
 #: Texts as sets: words of a shingle, least similarity, differing bits beyond which no set is compared (of pairs at
@@ -287,8 +289,9 @@ def _parts(n: Column, each: int, key: str) -> Column:
 
 def near_links(distinct: DataFrame, limit: int = MAX_BITS) -> DataFrame:
     """Edges (u, v) that span the components of the distinct fingerprints in column fp."""
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in split_masks(distinct.count(), limit)]
-    combos = [F.struct(F.lit(n).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for n, m in enumerate(masks)]
+    n = distinct.count()
+    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in split_masks(n, limit)]
+    combos = [F.struct(F.lit(k).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for k, m in enumerate(masks)]
     keyed = distinct.select("fp", F.explode(F.array(*combos)).alias("k")).select("k.combo", "k.shared", "fp")
     crowded = keyed.groupBy("combo", "shared").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > GROUP_LIMIT)
     crowded = materialize(crowded, "simhash-crowded")
@@ -299,7 +302,8 @@ def near_links(distinct: DataFrame, limit: int = MAX_BITS) -> DataFrame:
         keyed = keyed.join(crowded, ["combo", "shared"], "left")
         sub = F.when(F.col("__n").isNull(), whole).otherwise(_parts(F.col("__n"), GROUP_LIMIT, "fp"))
         grouped = keyed.select("combo", "shared", F.explode(sub).alias("sub"), "fp")
-    placed = grouped.repartition("combo", "shared", "sub").sortWithinPartitions("combo", "shared", "sub")
+    tasks = max(1, min(MOST_TASKS, n * len(masks) // TASK_ROWS))  # as many as the work is, however few bytes it has
+    placed = grouped.repartition(tasks, "combo", "shared", "sub").sortWithinPartitions("combo", "shared", "sub")
     return placed.select("combo", "shared", "sub", "fp").mapInArrow(_group_links(limit), "u long, v long")
 
 
