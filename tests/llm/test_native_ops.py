@@ -108,6 +108,15 @@ def test_url_rules_on_hosts_with_blanks(spark):
     assert found == {1: ("net/es/", "block"), 2: (None, "allow")}
 
 
+def test_url_rules_of_many_maps_and_long_urls(spark, monkeypatch):
+    long = "http://www.example.com/en/" + "a/" * 20_000
+    pages = spark.createDataFrame(list(enumerate([*URLS, long])), "page_id long, url string")
+    whole = sorted(url_filter.judge_urls(pages, queries.URL_RULES).collect())
+    monkeypatch.setattr(url_filter, "MAP_TOKENS", 1)
+    assert sorted(url_filter.judge_urls(pages, queries.URL_RULES).collect()) == whole
+    assert [tuple(r)[1:] for r in whole] == [plain_verdict(u) for u in [*URLS, long]]
+
+
 def test_url_rules_on_nothing(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge_urls(empty, queries.URL_RULES).count() == 0

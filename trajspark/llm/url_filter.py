@@ -21,8 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The rule list is a parameter that every row sees as a literal; a larger list is refused.
-MAX_RULES = 5_000
+#: Index tokens whose rules one literal map holds; more are fetched map by map.
+MAP_TOKENS = 5_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -88,8 +88,6 @@ def judge_urls(
     pages: DataFrame, rules: Sequence[Rule], default: str = "allow", key: str = "page_id", url: str = "url",
 ) -> DataFrame:
     """One row for each input row: key, host, path, rule (null if none fits), verdict."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     host, path = split_url(F.col(url))
     rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("__tokens", url_tokens(F.col("host"), F.col("path")))
@@ -104,14 +102,18 @@ def judge_urls(
 
     if not index:
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    filed = F.create_map(*[
-        x for token, own in sorted(index.items()) for x in (F.lit(token), F.array(*[entry(rules[i]) for i in own]))
-    ])
-    keys = F.array(*[F.lit(t) for t in sorted(index)])
-    fetched = F.flatten(F.transform(F.array_intersect(F.col("__tokens"), keys), lambda t: F.element_at(filed, t)))
+    filed = sorted(index.items())
     target = F.concat_ws("#", "host", "path")
-    fitting = F.filter(fetched, lambda r: F.rlike(target, r["regex"]))
-    return rows.withColumn("__best", F.array_max(fitting)).select(
+
+    def best_of(part: list[tuple[str, list[int]]]) -> Column:
+        filed_under = F.create_map(*[x for token, own in part for x in (F.lit(token), F.array(*[entry(rules[i]) for i in own]))])
+        keys = F.array(*[F.lit(token) for token, _ in part])
+        fetched = F.flatten(F.transform(F.array_intersect(F.col("__tokens"), keys), lambda t: F.element_at(filed_under, t)))
+        return F.array_max(F.filter(fetched, lambda r: F.rlike(target, r["regex"])))
+
+    best = [best_of(filed[at : at + MAP_TOKENS]) for at in range(0, len(filed), MAP_TOKENS)]
+    winner = best[0] if len(best) == 1 else F.array_max(F.filter(F.array(*best), lambda r: r.isNotNull()))
+    return rows.withColumn("__best", winner).select(
         "page_id", "host", "path", F.col("__best.text").alias("rule"),
         F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict"),
     )
