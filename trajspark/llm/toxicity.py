@@ -5,8 +5,9 @@ the least hash of doc_id).  Terms are whole words, and word stems, that
 nearly all of the sampled documents which have them are toxic.  Whole words
 go into a trie; a Levenshtein automaton for one edit, made deterministic as
 it is used, is intersected with the trie, so every token within one edit of
-a term is found without comparing it to each.  Sampled documents also tell
-which misspelled forms are ordinary words: those get their own weight.
+a whole word is found without comparing it to each.  Sampled documents also tell
+which misspelled forms are ordinary words: those get their own weight.  Terms and
+forms are bounded by the sample alone.
 
 Scoring finds the terms of a whole text with their places.  A term between
 quotation marks, or shortly after a reporting word, is a quotation and is
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, sliced
 
-#: Bounds of what fitting may gather: labelled rows, lexicon entries, misspelled forms.
-MAX_LABELLED, MAX_TERMS, MAX_FORMS = 20_000, 2_000, 20_000
+#: Labelled rows that fitting reads at most: the bound of all that it gathers.
+MAX_LABELLED = 20_000
 #: Entries that a task counts before it hands them on.
 MOST_COUNTED = 200_000
 THRESHOLD = 0.7
@@ -303,8 +304,6 @@ def _choose(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> L
             stems = [counts[body[:n] + "*"][0] for n in STEM_LENGTHS if len(body) > n and body[:n] in lexicon.stems]
             if not stems or have >= 0.5 * max(stems):
                 lexicon.words[k] = w
-        if len(lexicon.words) + len(lexicon.stems) >= MAX_TERMS:
-            break
     return lexicon
 
 
@@ -331,13 +330,14 @@ def _collect_forms(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def _both(counted: DataFrame, least: int, most: int) -> dict[str, tuple[int, int]]:
-    """(toxic, clean) by entry: the ``most`` entries of the most toxic documents, at least ``least``."""
+def _both(counted: DataFrame, least: int, precision: float = 0.0) -> dict[str, tuple[int, int]]:
+    """(toxic, clean) by entry: entries of at least ``least`` documents, a share of ``precision`` of them toxic."""
     summed = counted.groupBy("entry").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"),
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"),
     )
-    rows = summed.filter(F.col("t") + F.col("c") >= least).orderBy(F.desc("t"), F.desc("c"), "entry").limit(most).collect()
+    share = F.col("t") / (F.col("t") + F.col("c"))
+    rows = summed.filter((F.col("t") + F.col("c") >= least) & (share >= precision)).toLocalIterator()
     return {r["entry"]: (r["t"], r["c"]) for r in rows}
 
 
@@ -369,10 +369,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     counted = "entry string, toxic int, n long"
     if n_toxic:
         least = max(3, round(0.004 * n_toxic))
-        frequent = _both(sample.filter("toxic = 1").mapInArrow(_count(None), counted), least, 10 * MAX_TERMS)
-        both = _both(sample.mapInArrow(_count(set(frequent)), counted), least, 10 * MAX_TERMS)
+        frequent = _both(sample.filter("toxic = 1").mapInArrow(_count(None), counted), least)
+        both = _both(sample.mapInArrow(_count(set(frequent)), counted), least, LEAST_PRECISION)
         lexicon = _choose({k: v for k, v in both.items() if v[0] >= least}, n_toxic, n_clean)
-        forms = _both(sample.mapInArrow(_collect_forms(lexicon), counted), 1, MAX_FORMS)
+        forms = _both(sample.mapInArrow(_collect_forms(lexicon), counted), 1)
         lexicon.forms = {
             k: min(FUZZY_SHARE * max(lexicon.words.values(), default=0.0), max(0.0, _log_odds(t, c, n_toxic, n_clean)))
             for k, (t, c) in forms.items()
