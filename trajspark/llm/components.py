@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Steps needed grow with the logarithm of the longest path; this many mean a fault.
-MAX_ROUNDS = 60
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -37,22 +34,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has long columns u and v, in any direction, repeats and loops
     allowed.  Each round is two grouped minima and two joins, written to the
-    shared scratch folder; nothing of the graph goes to the driver.
+    shared scratch folder; nothing of the graph goes to the driver.  Rounds grow
+    with the logarithm of the longest path; they end when nothing changes.
     """
     edges = edges.select("u", "v").filter("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     ).distinct()
     edges = materialize(edges, "cc")
     seen = _mark(edges)
-    for _ in range(MAX_ROUNDS):
-        if seen[0] == 0:
-            break
+    settled = seen[0] == 0
+    while not settled:
         edges = materialize(_small_star(_large_star(edges)), "cc")
         now = _mark(edges)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
+        settled, seen = now == seen, now
     roots = edges.select("v").distinct().select(F.col("v").alias("vertex"), F.col("v").alias("root"))
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(roots)
