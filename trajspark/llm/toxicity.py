@@ -337,7 +337,7 @@ def _both(counted: DataFrame, least: int, precision: float = 0.0) -> dict[str, t
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"),
     )
     share = F.col("t") / (F.col("t") + F.col("c"))
-    rows = summed.filter((F.col("t") + F.col("c") >= least) & (share >= precision)).toLocalIterator()
+    rows = summed.filter((F.col("t") + F.col("c") >= least) & (share >= precision)).collect()
     return {r["entry"]: (r["t"], r["c"]) for r in rows}
 
 
