@@ -128,20 +128,18 @@ class Matcher:
         return sorted(((k, *v) for k, v in by_item.items()), key=lambda m: (m[0] is None, m[0] or 0))
 
 
-def _search(shared, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _search(shared, rate: float, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value, rate)
         for batch in sliced(batches):
-            rows = [
-                (doc, *match)
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for match in matcher(text)
-            ]
+            rows = [(at, *match) for at, text in enumerate(batch.column(1).to_pylist()) for match in matcher(text)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            whose = pa.array(columns[0], pa.int64())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            found = [pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True)]
+            own = [batch.column(2 + k).take(whose) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["doc_id", "item_id", "distance", "match_start", "match_end"],
+                [batch.column(0).take(whose), *found, *own], names=["doc_id", "item_id", "distance", "match_start", "match_end", *keep]
             )
 
     return run
@@ -161,17 +159,19 @@ def _blocks(items: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
-    key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, item_id, distance, match_start, match_end): places are code points of the normalised text."""
+    """(doc_id, item_id, distance, match_start, match_end): places are code points of the normalised text; then the columns ``keep`` of the document's row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([SCHEMA, *[f"`{k}` {kinds[k]}" for k in keep]])
     items = [
         (r["k"], r["t"])
         for r in benchmark.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("t"))
         .filter("t is not null").orderBy("k", "t").toLocalIterator()
     ]
     if not items:
-        return spark.createDataFrame([], SCHEMA)
-    found = [rows.mapInArrow(_search(spark.sparkContext.broadcast(b), rate), SCHEMA) for b in _blocks(items)]
+        return spark.createDataFrame([], schema)
+    found = [rows.mapInArrow(_search(spark.sparkContext.broadcast(b), rate, list(keep)), schema) for b in _blocks(items)]
     return reduce(DataFrame.unionByName, found)
