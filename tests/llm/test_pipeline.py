@@ -75,6 +75,21 @@ def test_run(spark, tables):
     assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and found.count() > 0
 
 
+def test_leaks_take_no_clean_row_with_them(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "which of these long questions should never be part of any training text at all"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak, clean = f"before {item} after", "a text of which nothing is asked"
+    rows = [(None, leak), (None, clean), (None, None), (7, leak), (7, clean), (7, leak), (8, ""), (9, leak.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(None, clean), (None, None), (7, clean), (8, "")], key=repr)
+    none = corpus_pipeline.drop_leaks(spark, docs.limit(0), str(tmp_path))
+    assert none.columns == docs.columns and none.count() == 0
+
+
 def jaccard_rows():
     """Texts of 100 words and near copies of them with up to 17 words changed; similarity from 0.4 to 1."""
     rng = random.Random(3)
