@@ -113,9 +113,9 @@ def published(df: DataFrame, path: str, marker: dict) -> None:
     atomic_json(at, marker)
 
 
-def marker_of(path: str) -> dict | None:
-    """The success marker of what :func:`published` wrote; None where there is none."""
-    jvm, _, place, fs = _file_system(f"{path.rstrip('/')}/_PUBLISHED.json")
+def read_json(path: str) -> dict | None:
+    """A small JSON file of any store; None where there is none."""
+    jvm, _, place, fs = _file_system(path)
     if not fs.exists(place):
         return None
     stream = fs.open(place)
@@ -123,3 +123,8 @@ def marker_of(path: str) -> dict | None:
         return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
         stream.close()
+
+
+def marker_of(path: str) -> dict | None:
+    """The success marker of what :func:`published` wrote; None where there is none."""
+    return read_json(f"{path.rstrip('/')}/_PUBLISHED.json")
