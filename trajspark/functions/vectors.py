@@ -52,6 +52,11 @@ def cosine(a, b) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(float("nan")))
 
 
+def bound(x, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.transform(F.array(c(x)), f)[0]
+
+
 def quaternion_product(p, q) -> Column:
     """Hamilton product of (w, x, y, z) arrays."""
     p, q = c(p), c(q)
@@ -96,13 +101,16 @@ def euler_to_quaternion(roll, pitch, yaw) -> Column:
 
 def quaternion_to_matrix(q) -> Column:
     """Nine entries, row by row."""
-    q = quaternion_unit(q)
-    w, x, y, z = (q[i] for i in range(4))
-    return F.array(
-        1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w),
-        2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w),
-        2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y),
-    )
+
+    def entries(q: Column) -> Column:
+        w, x, y, z = (q[i] for i in range(4))
+        return F.array(
+            1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w),
+            2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w),
+            2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y),
+        )
+
+    return bound(quaternion_unit(q), entries)
 
 
 def matrix_to_euler(m) -> Column:
@@ -125,6 +133,67 @@ def quaternion_to_axis_angle(q) -> Column:
     return F.array(*axis, F.when(still, F.lit(0.0)).otherwise(2 * F.atan2(side, u[0])))
 
 
+def axis_angle_to_quaternion(axis, angle) -> Column:
+    """(w, x, y, z) of a turn about an axis of any length; no rotation for an axis of none."""
+    size, half = norm(axis), c(angle) / 2
+    part = lambda i: F.when(size > 0, doubles(axis)[i] / size * F.sin(half)).otherwise(F.lit(0.0))
+    return F.array(F.when(size > 0, F.cos(half)).otherwise(F.lit(1.0)), part(0), part(1), part(2))
+
+
+#: The 24 conventions of three angles: 's' turns about fixed axes, 'r' about turning ones; then the axes in order.
+CONVENTIONS = [frame + i + j + k for frame in "sr" for i in "xyz" for j in "xyz" for k in "xyz" if i != j != k]
+
+
+def _turning(convention: str | Column) -> tuple[list[Column], Column]:
+    """Axes 0 to 2 as those of turns about turning axes, and whether the angles come in reverse for that: x then y fixed is y then x turning."""
+    if isinstance(convention, str):
+        if convention not in CONVENTIONS:
+            raise ValueError(f"unknown convention: {convention}")
+        convention = F.lit(convention)
+    reverse = F.substring(convention, 1, 1) == "s"
+    axis = lambda n: F.ascii(F.substring(convention, n + 2, 1)) - ord("x")
+    return [F.when(reverse, axis(2 - n)).otherwise(axis(n)) for n in range(3)], reverse
+
+
+def angles_to_quaternion(angles, convention: str | Column) -> Column:
+    """(w, x, y, z) of three angles by a convention; a column may name another one in each row."""
+    axes, reverse = _turning(convention)
+
+    def product(parts: Column) -> Column:
+        def turn(n: int) -> Column:
+            half = F.get(parts, F.when(reverse, F.lit(2 - n)).otherwise(F.lit(n)))
+            return F.array(half["cos"], *[F.when(axes[n] == k, half["sin"]).otherwise(F.lit(0.0)) for k in range(3)])
+
+        return bound(turn(0), lambda p: bound(turn(1), lambda q: bound(turn(2), lambda r: bound(quaternion_product(p, q), lambda pq: quaternion_product(pq, r)))))
+
+    return bound(F.transform(c(angles), lambda x: F.struct(F.cos(x / 2).alias("cos"), F.sin(x / 2).alias("sin"))), product)
+
+
+def matrix_to_angles(m, convention: str | Column) -> Column:
+    """Three angles by a convention from nine row-major entries; where two axes fall together the first turn is 0."""
+    (i, j, last), reverse = _turning(convention)
+    # k is the axis that isn't among the first two, sign the parity of (i, j, k)
+    places = F.struct(i.alias("i"), j.alias("j"), (3 - i - j).alias("k"), (last == i).alias("again"), F.when(F.pmod(j - i, F.lit(3)) == 1, 1.0).otherwise(-1.0).alias("sign"))
+
+    def angles(m: Column, p: Column) -> Column:
+        at = lambda r, s: F.get(m, p[r] * 3 + p[s])
+        sign, again = p["sign"], p["again"]
+        flat = F.when(again, F.hypot(at("i", "j"), at("i", "k"))).otherwise(F.hypot(at("i", "i"), at("i", "j")))
+        first = F.when(again, F.atan2(at("j", "i"), -sign * at("k", "i"))).otherwise(F.atan2(-sign * at("j", "k"), at("k", "k")))
+        second = F.when(again, F.atan2(flat, at("i", "i"))).otherwise(F.atan2(sign * at("i", "k"), flat))
+        third = F.when(again, F.atan2(at("i", "j"), sign * at("i", "k"))).otherwise(F.atan2(-sign * at("i", "j"), at("i", "i")))
+        alone = F.when(again, F.atan2(-sign * at("j", "k"), at("j", "j"))).otherwise(F.atan2(sign * at("j", "i"), at("j", "j")))
+        together = flat < 1e-9
+        found = F.array(F.when(together, F.lit(0.0)).otherwise(first), second, F.when(together, alone).otherwise(third))
+        return F.when(reverse, F.reverse(found)).otherwise(found)
+
+    return bound(m, lambda m: bound(places, lambda p: angles(m, p)))
+
+
+def quaternion_to_angles(q, convention: str | Column) -> Column:
+    return matrix_to_angles(quaternion_to_matrix(q), convention)
+
+
 def is_rotation(m, tolerance: float = 1e-6) -> Column:
     """Whether nine row-major entries are orthonormal with determinant 1."""
     m = c(m)

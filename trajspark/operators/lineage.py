@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import intervals
+
 TARGET = ["dataset", "task", "episode", "target_t"]
 
 
@@ -119,3 +121,37 @@ def target_times(frames: Column, stride: int = 4, prefix_frames: int = 4, real:
     times = F.when(have > 0, F.sequence(F.lit(0), have.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
     tail = (wanted - have).cast("int")
     return F.concat(F.array_repeat(F.lit(-1), prefix), times, F.array_repeat(F.lit(-1), tail))
+
+
+def support_ranges(episodes: DataFrame, per_latent: int = 4) -> DataFrame:
+    """(dataset, task, episode, start, end) of the targets that the configs of each episode can reach, as ranges.
+
+    An episode has a nested ``action_config`` (start_frame, end_frame,
+    action_text, frame_ids); a config without frames reaches nothing, one with
+    a single frame is left to :func:`support_violations`.  The first latent's
+    slots are padding; the rest reach from the first frame on, as far as the
+    config goes.  The task is the config's text, or else the episode's first.
+    """
+    rows = episodes.select("dataset", "episode", "tasks", F.explode("action_config").alias("c"))
+    frames = F.col("c.frame_ids")
+    rows = rows.filter(F.size(frames) >= 2)
+    tokens = (F.get(frames, F.lit(1)) - F.get(frames, F.lit(0))) * per_latent
+    latents = F.expr(f"(size(c.frame_ids) - 1) div {per_latent} + 1")
+    first = F.get(frames, F.lit(0)).cast("long")
+    needed = F.least(F.greatest(F.col("c.end_frame") - first, F.lit(0)), latents * tokens - tokens).cast("long")
+    text = F.when(F.coalesce(F.col("c.action_text"), F.lit("")) != "", F.col("c.action_text")).otherwise(F.get("tasks", F.lit(0)))
+    return rows.filter(tokens > 0).select("dataset", text.alias("task"), "episode", first.alias("start"), (first + needed).alias("end"))
+
+
+def support_violations(episodes: DataFrame) -> DataFrame:
+    """(dataset, episode, rule): configs whose frames are too few, or don't go forwards."""
+    rows = episodes.select("dataset", "episode", F.explode("action_config").alias("c"))
+    frames = F.col("c.frame_ids")
+    rule = F.when(F.size(frames) == 1, "one_frame").when((F.size(frames) >= 2) & (F.get(frames, F.lit(1)) <= F.get(frames, F.lit(0))), "stride")
+    return rows.select("dataset", "episode", rule.alias("rule")).filter("rule is not null")
+
+
+def support_size(episodes: DataFrame, per_latent: int = 4) -> DataFrame:
+    """(dataset, task, episode, support): distinct reachable targets as lengths of interval unions; no target has a row."""
+    keys = ["dataset", "task", "episode"]
+    return intervals.union_length(support_ranges(episodes, per_latent), keys, keys).withColumnRenamed("length", "support")

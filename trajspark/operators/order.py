@@ -50,17 +50,52 @@ def running_sum(df: DataFrame, place: str, value: str, out: str) -> DataFrame:
     return own.join(offsets, "__b").withColumn(out, F.col("__own") + F.col("__before")).drop("__b", "__own", "__before")
 
 
-def quantiles(df: DataFrame, value: str, shares: dict[str, float], empty: float | None = None) -> DataFrame:
-    """One row of exact, linearly interpolated quantiles of the non-null values, from the places around them."""
-    rows = numbered(df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")), ["v"], "place")
-    n = rows.count()
-    picks = []
+def running_extreme(df: DataFrame, place: str, value: str, out: str, forwards: bool) -> DataFrame:
+    """Greatest value over the rows up to each place, or least value over those from it on; nulls don't count."""
+    best = F.max if forwards else F.min
+    rows = df.withColumn("__b", F.expr(f"`{place}` div {PER_BUCKET}"))
+    sums = rows.groupBy("__b").agg(best(value).alias("__s"))
+    side = Window.orderBy(F.col("__b") if forwards else F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__b", best("__s").over(side).alias("__before"))  # a row for each PER_BUCKET rows
+    inside = Window.partitionBy("__b").orderBy(F.col(place) if forwards else F.col(place).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = rows.withColumn("__own", best(value).over(inside)).join(offsets, "__b")
+    either = F.array_max if forwards else F.array_min
+    return own.withColumn(out, either(F.array("__own", "__before"))).drop("__b", "__own", "__before")
+
+
+#: Distinct values up to which a group's quantiles are one aggregate of (value, count).
+FEW_VALUES = 100_000
+
+
+def group_quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact, linearly interpolated quantiles of each group's non-null values.
+
+    Rows become counts of distinct values before anything is ordered, so ties
+    cost nothing.  While no group has more than ``FEW_VALUES`` of them they are
+    one aggregate; beyond that, running counts over the order of all distinct
+    values, found by ranges, tell which value holds a place.  Both are exact.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = scratch.materialize(counts, "values")
+    most = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= FEW_VALUES:
+        return counts.groupBy(*group).agg(*[F.percentile("__v", F.lit(share), F.col("__n")).alias(name) for name, share in shares.items()])
+    rows = running_sum(numbered(counts, [*group, "__v"], "__place"), "__place", "__n", "__until")
+    totals = rows.groupBy(*[F.col(g).alias(f"__{g}") for g in group]).agg(F.min("__until").alias("__first"), F.sum("__n").alias("__all"))
+    on = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group], F.lit(True))
+    rows = rows.join(totals, on).withColumn("__from", F.col("__until") - F.col("__first"))
+    aggregates = []
     for name, share in shares.items():
-        at = share * (n - 1)
-        low = int(at)
-        picks += [(name, low + 1, 1.0 - (at - low)), (name, min(low + 2, n), at - low)]
-    wanted = df.sparkSession.createDataFrame(picks, "name string, place long, weight double")  # two rows for each share
-    found = rows.join(F.broadcast(wanted), "place").groupBy().agg(*[
-        F.sum(F.when(F.col("name") == name, F.col("v") * F.col("weight"))).alias(name) for name in shares
-    ])
+        at = (F.col("__all") - 1) * share
+        low, part = F.floor(at), at - F.floor(at)
+        holds = lambda k: (F.col("__from") <= k) & (k < F.col("__from") + F.col("__n"))
+        high = F.least(low + 1, F.col("__all") - 1)
+        share_of = F.when(holds(low), F.col("__v") * (1 - part)).otherwise(F.lit(0.0)) + F.when(holds(high), F.col("__v") * part).otherwise(F.lit(0.0))
+        aggregates.append(F.sum(share_of).alias(name))
+    return rows.groupBy(*group).agg(*aggregates)
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], empty: float | None = None) -> DataFrame:
+    """One row of exact, linearly interpolated quantiles of the non-null values (:func:`group_quantiles` of one group)."""
+    found = group_quantiles(df.select(value), [], value, shares)
     return found if empty is None else found.fillna(empty)

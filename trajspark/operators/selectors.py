@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import scratch
-from . import order
+from . import intervals, order
 
 #: A budget from here on selects everything.
 WHOLE = 0.999
@@ -152,25 +152,45 @@ def select(name: str, segments: DataFrame, budget: float, **context) -> DataFram
     return SELECTORS[name](segments, budget, **context)
 
 
-def budget_row(chosen: DataFrame, segments: DataFrame, name: str, budget: float) -> DataFrame:
-    """Unique actions, exposures, their ratio to the whole, and overlap."""
-    unique = actions(chosen).agg(F.count_distinct("episode", "action").alias("unique_actions"), F.count(F.lit(1)).alias("exposures"))
-    whole = actions(segments).agg(F.count_distinct("episode", "action").alias("all_actions"))
-    size = chosen.agg(F.count(F.lit(1)).alias("segments"))
-    return unique.crossJoin(whole).crossJoin(size).select(  # one row each
-        F.lit(name).alias("selector"), F.lit(budget).alias("budget"), "segments", "unique_actions", "exposures", "all_actions",
+def budget_row(chosen: DataFrame, segments: DataFrame, name: str, budget: float, files: DataFrame | None = None) -> DataFrame:
+    """Unique actions and observations, exposures, their ratio to the whole, overlap, and what is stored for them.
+
+    Actions are [first, last], observations [start, end], both inclusive;
+    unique ones are lengths of interval unions, so that no point has a row.
+    ``files`` (episode, segment, camera, bytes) are those of all segments.
+    """
+    spans = lambda df, low, high: df.select("episode", F.col(low).alias("start"), (F.col(high) + 1).alias("end"))
+    length = lambda df, out: intervals.union_length(df, ["episode"], []).select(F.coalesce("length", F.lit(0)).alias(out))
+    one = chosen.agg(F.count(F.lit(1)).alias("segments"), F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0)).alias("exposures"))
+    parts = [length(spans(chosen, "first", "last"), "unique_actions"), length(spans(segments, "first", "last"), "all_actions"), length(spans(chosen, "start", "end"), "unique_observations")]
+    if files is not None:
+        stored = files.join(chosen.select("episode", "segment"), ["episode", "segment"], "left_semi")
+        parts.append(stored.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")))
+    for part in parts:
+        one = one.crossJoin(part)  # one row each
+    return one.select(
+        F.lit(name).alias("selector"), F.lit(budget).alias("budget"), "segments", "unique_actions", "unique_observations", "exposures", "all_actions",
         F.try_divide("unique_actions", "all_actions").alias("action_ratio"), F.try_divide("exposures", "unique_actions").alias("overlap_ratio"),
+        *(["files", "bytes"] if files is not None else []),
     )
 
 
 def coverage(chosen: DataFrame, episodes: DataFrame, bins: int) -> DataFrame:
-    """Covered and all actions by normalised time bin, over all episodes; bin edges round halves to even."""
+    """Covered and all actions by normalised time bin, over all episodes; bin edges round halves to even.
+
+    The union of an episode's intervals meets only the bins it touches, and
+    overlaps are differences of ends.
+    """
     edge = lambda i: F.bround(i * F.col("length") / F.lit(float(bins)), 0).cast("long")
     cells = episodes.select("episode", "length", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    cells = cells.select("episode", "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"))
-    totals = cells.groupBy("bin").agg(F.sum(F.greatest(F.col("hi") - F.col("lo"), F.lit(0))).alias("total"))
-    seen = actions(chosen).distinct()
-    hit = seen.join(cells, "episode").filter("action >= lo and action < hi").groupBy("bin").agg(F.count(F.lit(1)).alias("covered"))
+    totals = cells.groupBy("bin").agg(F.sum(F.greatest(edge(F.col("bin") + 1) - edge(F.col("bin")), F.lit(0))).alias("total"))
+    covered = intervals.islands(chosen.select("episode", F.col("first").alias("start"), (F.col("last") + 1).alias("end")), ["episode"])
+    rows = covered.join(episodes.select("episode", "length"), "episode")
+    near = lambda x, by: F.greatest(F.lit(0), F.least(F.lit(bins - 1), (F.floor(x * bins / F.col("length")) + by).cast("int")))
+    touched = F.when(F.col("length") > 0, F.sequence(near(F.col("start"), -1), near(F.col("end"), 1)))
+    rows = rows.select("start", "end", "length", F.explode(touched).alias("bin"))
+    common = F.least("end", edge(F.col("bin") + 1)) - F.greatest("start", edge(F.col("bin")))
+    hit = rows.groupBy("bin").agg(F.sum(F.greatest(common, F.lit(0))).alias("covered"))
     return totals.join(hit, "bin", "left").fillna(0, ["covered"]).select(
         "bin", "covered", "total", (F.col("covered") / F.greatest(F.col("total"), F.lit(1))).alias("coverage_ratio")
     )

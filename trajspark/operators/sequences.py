@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars, vectors
+from . import order
 
 
 def _by(group: list[str], order: list[str]):
@@ -201,10 +204,11 @@ def standardised(df: DataFrame, x: str, keys: list[str], floor: float = 1e-4) ->
 def channel_quantiles(df: DataFrame, vector: str, *group: str) -> DataFrame:
     """Exact q01 and q99 of each channel over finite values; a non-finite value is an error of its channel."""
     rows = df.select(*group, F.posexplode(vector).alias("channel", "x")).withColumn("x", F.col("x").cast("double"))
-    return rows.groupBy(*group, "channel").agg(
-        F.percentile("x", F.lit(0.01)).alias("q01"), F.percentile("x", F.lit(0.99)).alias("q99"),
-        F.count_if(~scalars.is_finite("x")).alias("non_finite"),
-    )
+    keys = [*group, "channel"]
+    wrong = rows.groupBy(*keys).agg(F.count_if(~scalars.is_finite("x")).alias("non_finite"))
+    found = order.group_quantiles(rows, keys, "x", {"q01": 0.01, "q99": 0.99})
+    same = reduce(lambda a, b: a & b, [wrong[k].eqNullSafe(found[k]) for k in keys])
+    return wrong.join(found, same, "left").select(*[wrong[k] for k in keys], "q01", "q99", "non_finite")
 
 
 def model_quantiles(quantiles: DataFrame, mapping: dict[int, int], fixed: set[int], size: int) -> DataFrame:

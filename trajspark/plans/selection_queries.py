@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..operators import evaluation, packing, selectors
 from . import roles
 from .registry import query
@@ -93,14 +94,24 @@ def coverage_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selectors.coverage(chosen, roles.lengths(spark, sf_dir), BINS).withColumn("coverage_ratio", F.round("coverage_ratio", 6))
 
 
-@query(f"""WITH {roles.SEGMENTS}, {_greedy_sql('motion_score DESC, episode, segment')}, a AS (SELECT count(DISTINCT (episode, action)) AS n FROM acts),
-f AS (SELECT 'full' AS selector, 1.0::DOUBLE AS budget, (SELECT count(*) FROM segs) AS segments, count(DISTINCT (episode, action)) AS unique_actions, count(*) AS exposures FROM acts),
-m AS (SELECT 'motion_gripper' AS selector, {BUDGET}::DOUBLE AS budget, (SELECT count(*) FROM kept) AS segments, count(DISTINCT (episode, action)) AS unique_actions, count(*) AS exposures FROM (SELECT episode, unnest(generate_series(first, last)) AS action FROM kept))
-SELECT x.*, a.n AS all_actions, round(unique_actions / a.n, 6) AS action_ratio, round(exposures / unique_actions, 6) AS overlap_ratio FROM (SELECT * FROM f UNION ALL SELECT * FROM m) x, a""")
+_CHOSEN = "SELECT 'full' AS selector, 1.0::DOUBLE AS budget, * FROM segs UNION ALL SELECT 'motion_gripper', {budget}::DOUBLE, * FROM segs SEMI JOIN kept USING (episode, segment)"
+
+
+@query(f"""WITH {roles.SEGMENTS}, {_greedy_sql('motion_score DESC, episode, segment')}, c AS ({_CHOSEN.format(budget=BUDGET)}), a AS (SELECT count(DISTINCT (episode, action)) AS n FROM acts),
+files AS (SELECT episode, segment, camera, (fin - start) * 100 + camera AS bytes FROM segs, range(0, 2) r(camera) WHERE segment % 5 <> 4 OR camera = 0),
+u AS (SELECT selector, count(DISTINCT (episode, x)) AS unique_actions, count(*) AS exposures FROM (SELECT selector, episode, unnest(generate_series(first, last)) AS x FROM c) GROUP BY 1),
+o AS (SELECT selector, count(DISTINCT (episode, x)) AS unique_observations FROM (SELECT selector, episode, unnest(generate_series(start, fin)) AS x FROM c) GROUP BY 1),
+f AS (SELECT selector, count(*) AS files, sum(bytes)::BIGINT AS bytes FROM c JOIN files USING (episode, segment) GROUP BY 1),
+s AS (SELECT selector, budget, count(*) AS segments FROM c GROUP BY ALL)
+SELECT selector, budget, segments, unique_actions, unique_observations, exposures, a.n AS all_actions, round(unique_actions / a.n, 6) AS action_ratio, round(exposures / unique_actions, 6) AS overlap_ratio, files, bytes
+FROM s JOIN u USING (selector) JOIN o USING (selector) JOIN f USING (selector), a""")
 def budget_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = roles.segments(spark, sf_dir)
-    rows = selectors.budget_row(segments, segments, "full", 1.0).unionByName(
-        selectors.budget_row(selectors.select("motion_gripper", segments, BUDGET), segments, "motion_gripper", BUDGET))
+    """What a budget keeps: actions, observations, exposures, files and bytes; some segments lack a camera's file."""
+    segments = scratch.materialize(roles.segments(spark, sf_dir), "segments")
+    cameras = segments.select("episode", "segment", ((F.col("end") - F.col("start")) * 100).alias("b"), F.explode(F.array(F.lit(0), F.lit(1))).alias("camera"))
+    files = cameras.filter("segment % 5 <> 4 or camera = 0").select("episode", "segment", "camera", (F.col("b") + F.col("camera")).alias("bytes"))
+    rows = selectors.budget_row(segments, segments, "full", 1.0, files).unionByName(
+        selectors.budget_row(selectors.select("motion_gripper", segments, BUDGET), segments, "motion_gripper", BUDGET, files))
     return rows.withColumns({c: F.round(c, 6) for c in ("action_ratio", "overlap_ratio")})
 
 
