@@ -52,6 +52,11 @@ def cosine(a, b) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(float("nan")))
 
 
+def channel_normalise(x, mean, inverse_std) -> Column:
+    """(x - mean) * (1 / std) of each channel, by arrays of the channels' means and inverse deviations."""
+    return F.transform(doubles(x), lambda v, i: (v - F.get(c(mean), i)) * F.get(c(inverse_std), i))
+
+
 def bound(x, f) -> Column:
     """``f`` of a value that is computed once, however often ``f`` uses it."""
     return F.transform(F.array(c(x)), f)[0]

@@ -131,6 +131,14 @@ def identity_digest(*fields: str) -> Column:
     return scalars.stable_hash(**{f: F.col(f) for f in fields})
 
 
+def launch_status(launches: DataFrame, manifests: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, fingerprint, status) of each launch: 'new' where no manifest has its key, 'same' where the manifest was written for this identity, else 'different'."""
+    own = launches.withColumn("fingerprint", identity_digest(*fields)).select(key, "fingerprint")
+    known = manifests.select(key, F.lower("identity_sha256").alias("__recorded"), F.lit(True).alias("__known"))
+    status = F.when(F.col("__known").isNull(), "new").when(F.col("__recorded").eqNullSafe(F.col("fingerprint")), "same").otherwise("different")
+    return own.join(known, key, "left").select(key, "fingerprint", status.alias("status"))
+
+
 def mesh_ids(spark: SparkSession, f: int, h: int, w: int, t: int, f_weight: int = 1, f_shift: int = 0, action: bool = False) -> DataFrame:
     """(place, f, h, w, t) of a grid; action rows lie between frames and have -1 for height and width."""
     places = spark.range(f * h * w).withColumnRenamed("id", "place")

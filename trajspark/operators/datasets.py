@@ -200,14 +200,6 @@ def check_output_paths(root: str, protected: list[str], outputs: list[str]) -> N
                 raise ValueError(f"{o} overlaps the protected {p}")
 
 
-def identity_matches(manifest: dict, **identity) -> bool:
-    """Whether a launch has the identity that an existing manifest was written for."""
-    import json
-
-    digest = hashlib.sha256(json.dumps(identity, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
-    return manifest.get("identity_sha256", digest) == digest
-
-
 def plan_delta(frames: DataFrame, group: list[str], order: str, a: str, b: str) -> DataFrame:
     """Metrics between two plans' vectors over the frames after the first."""
     later = frames.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(order))).filter("__r > 1")

@@ -64,8 +64,10 @@ def missing_and_extra(expected: DataFrame, actual: DataFrame, keys: list[str]) -
     return e.join(a, keys, "left_anti").withColumn("status", F.lit("missing")).unionByName(a.join(e, keys, "left_anti").withColumn("status", F.lit("extra")))
 
 
-def same_set(left: DataFrame, right: DataFrame, keys: list[str]) -> bool:
-    return missing_and_extra(left, right, keys).isEmpty()
+def set_equality(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: whether both sides have the same keys, and how many each side lacks."""
+    counts = missing_and_extra(left, right, keys).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("missing", "extra")])
+    return counts.select(((F.col("missing") == 0) & (F.col("extra") == 0)).alias("same"), "missing", "extra")
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> bool:

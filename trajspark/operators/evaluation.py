@@ -38,6 +38,38 @@ def rates(results: DataFrame, group: str) -> DataFrame:
     )
 
 
+def pooled_faults(expected_tasks: DataFrame, results: DataFrame, task: str, expected: int, protocol: dict[str, object]) -> DataFrame:
+    """(task, fault) of what must not be pooled: results that are missing or not complete, repeated, of a task that isn't expected, or of another protocol."""
+    counted = results.groupBy(task).agg(F.count(F.lit(1)).alias("n"))
+    status = completeness(expected_tasks, results, task, expected).filter("status <> 'complete'").select(task, F.col("status").alias("fault"))
+    repeated = counted.filter("n > 1").select(task, F.lit("repeated").alias("fault"))
+    unknown = counted.join(expected_tasks.select(task), task, "left_anti").select(task, F.lit("unexpected").alias("fault"))
+    other = [results.filter(~F.col(f).eqNullSafe(F.lit(v))).select(task, F.lit(f"protocol_{f}").alias("fault")) for f, v in protocol.items()]
+    found = status.unionByName(repeated).unionByName(unknown)
+    for rows in other:
+        found = found.unionByName(rows)
+    return found.distinct()
+
+
+def pooled_success(expected_tasks: DataFrame, results: DataFrame, task: str, group: str, expected: int, protocol: dict[str, object]) -> DataFrame:
+    """(group, succ, total, pooled_rate, faults) by group of the expected tasks; a group with a fault has no rate."""
+    faults = pooled_faults(expected_tasks, results, task, expected, protocol).groupBy(task).agg(F.count(F.lit(1)).alias("__f"))
+    own = results.groupBy(task).agg(F.sum("succ_num").alias("__s"), F.sum("total_num").alias("__n"))
+    rows = expected_tasks.select(task, group).join(own, task, "left").join(faults, task, "left")
+    sums = rows.groupBy(group).agg(F.sum("__s").alias("succ"), F.sum("__n").alias("total"), F.coalesce(F.sum("__f"), F.lit(0)).cast("long").alias("faults"))
+    return sums.select(group, "succ", "total", F.when(F.col("faults") == 0, F.try_divide("succ", "total")).alias("pooled_rate"), "faults")
+
+
+def resumable(counters: DataFrame, results: DataFrame, task: str, config: list[str]) -> DataFrame:
+    """(task, succ_num, total_num, status) to go on from: earlier counters where they were made with the same configuration, 'mismatch' where not, 'fresh' where there are none."""
+    kept = results.select(task, "succ_num", "total_num", F.struct(*config).alias("__old"))
+    rows = counters.select(task, F.struct(*config).alias("__new")).join(kept, task, "left")
+    same = F.col("__old").eqNullSafe(F.col("__new"))
+    status = F.when(F.col("__old").isNull(), "fresh").when(same, "resumed").otherwise("mismatch")
+    value = lambda n: F.when(status == "resumed", F.col(n)).otherwise(F.lit(0)).alias(n)
+    return rows.select(task, value("succ_num"), value("total_num"), status.alias("status"))
+
+
 def best_checkpoint(rounds: DataFrame) -> DataFrame:
     """The step with the most successes, the later one of equals."""
     return rounds.agg(F.max_by(F.struct("step", "succ"), F.struct("succ", "step")).alias("b")).select("b.*")

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars
 from . import order as places
@@ -161,10 +162,11 @@ def fill(planned: DataFrame, limits: Limits) -> DataFrame:
 
 def collate(rows: DataFrame, group: list[str], order: str, values: str) -> DataFrame:
     """Variable-length arrays of a pack end to end, with lengths and offsets (one more than arrays)."""
-    own = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, values))).alias("r"))
-    own = own.withColumn("arrays", F.transform("r", lambda x: x[values])).withColumn("lengths", F.transform("arrays", lambda a: F.size(a)))
-    offsets = F.transform(F.sequence(F.lit(0), F.size("lengths")), lambda n: F.aggregate(F.slice("lengths", F.lit(1), n), F.lit(0), lambda s, x: s + x))
-    return own.select(*group, F.flatten("arrays").alias("values"), "lengths", offsets.alias("offsets"))
+    before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("__at", F.coalesce(F.sum(F.size(values)).over(before), F.lit(0)).cast("int"))
+    own = placed.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, "__at", values))).alias("r"), F.sum(F.size(values)).cast("int").alias("__all"))
+    part = lambda name: F.transform("r", lambda x: x[name])
+    return own.select(*group, F.flatten(part(values)).alias("values"), F.transform("r", lambda x: F.size(x[values])).alias("lengths"), F.concat(part("__at"), F.array("__all")).alias("offsets"))
 
 
 def sample_fraction(items: DataFrame, key: str, ratio: float, seed: int, suite: str) -> DataFrame:

@@ -105,14 +105,15 @@ def result_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.places(rows).select("task", "place")
 
 
-@query("""SELECT s_suppkey, sha256('{' || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '"nation":' || s_nationkey || ',' END || '"supplier":' || s_suppkey || '}') AS fingerprint, s_suppkey % 4 <> 1 AS same FROM supplier""")
+@query("""SELECT s_suppkey, sha256('{' || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '"nation":' || s_nationkey || ',' END || '"supplier":' || s_suppkey || '}') AS fingerprint,
+ CASE WHEN s_suppkey % 5 = 2 THEN 'new' WHEN s_suppkey % 4 = 1 OR s_suppkey % 3 = 0 THEN 'different' ELSE 'same' END AS status FROM supplier""")
 def launch_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints with an optional field, against those that an existing manifest was written for."""
-    nation = F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey"))
-    rows = roles.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").alias("supplier"), nation.alias("nation"))
-    rows = rows.withColumn("fingerprint", contracts.identity_digest("nation", "supplier"))
-    recorded = F.when(F.col("s_suppkey") % 4 == 1, F.sha2(F.lit("another"), 256)).otherwise(F.col("fingerprint"))
-    return rows.select("s_suppkey", "fingerprint", (recorded == F.col("fingerprint")).alias("same"))
+    """Launches with an optional field against manifests written before: some are missing, some of another supplier, and all were written with the field."""
+    suppliers = roles.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation"))
+    manifests = suppliers.filter("s_suppkey % 5 <> 2").withColumn("supplier", F.col("supplier") + F.when(F.col("s_suppkey") % 4 == 1, 1).otherwise(0))
+    manifests = manifests.select("s_suppkey", F.upper(contracts.identity_digest("nation", "supplier")).alias("identity_sha256"))
+    launches = suppliers.withColumn("nation", F.when(F.col("s_suppkey") % 3 != 0, F.col("nation")))
+    return contracts.launch_status(launches, manifests, "s_suppkey", ["nation", "supplier"])
 
 
 @query("WITH m AS (SELECT l_returnflag AS f, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem GROUP BY 1) SELECT l_orderkey, l_linenumber, round((l_quantity - m) / (s + 1e-6), 6) AS z, round(l_quantity, 6) AS back FROM lineitem JOIN m ON f = l_returnflag")
@@ -124,11 +125,16 @@ def z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.round("z", 6).alias("z"), F.round(scalars.unstandardise("z", "m", "s"), 6).alias("back"))
 
 
-@query("SELECT vec_id, round(list_sum([(x[1] - 0.1 * (x[2] % 3)) * (1.0 / (1 + x[2] % 4)) for x in list_zip(embedding::DOUBLE[], range(0, len(embedding)))]), 5) AS total FROM embeddings")
+@query("""WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings), m AS (SELECT i, avg(v) AS mean, greatest(stddev_pop(v), 1e-4) AS std FROM x GROUP BY 1)
+SELECT vec_id, round(max(abs((v - mean) / std)), 4) AS greatest, round(sum(((v - mean) / std) ** 2), 3) AS squares FROM x JOIN m USING (i) GROUP BY 1""")
 def latent_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(x - mean) * (1 / std) with a mean and deviation for each channel, summed up."""
-    scaled = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: (x - 0.1 * (i % 3)) * (1.0 / (1 + i % 4)))
-    return roles.table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.total(scaled), 5).alias("total"))
+    """Vectors normalised channel by channel with the table's own means and deviations."""
+    rows = roles.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    stats = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("mean"), F.greatest(F.stddev_pop("v"), F.lit(1e-4)).alias("std"))
+    entries = F.array_sort(F.collect_list(F.struct("i", "mean", (1 / F.col("std")).alias("inverse"))))  # one entry a channel
+    arrays = stats.agg(F.transform(entries, lambda e: e["mean"]).alias("mean"), F.transform(entries, lambda e: e["inverse"]).alias("inverse"))
+    scaled = rows.crossJoin(F.broadcast(arrays)).select("vec_id", vectors.channel_normalise("x", "mean", "inverse").alias("z"))  # one row on the right
+    return scaled.select("vec_id", F.round(F.array_max(F.transform("z", lambda v: F.abs(v))), 4).alias("greatest"), F.round(vectors.dot("z", "z"), 3).alias("squares"))
 
 
 @query("SELECT o_orderkey, o_orderkey % 2 = 1 AS flag FROM orders")
@@ -330,9 +336,34 @@ def sidecar_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.sidecar_rules(rows, "s_suppkey")
 
 
-@query("SELECT (count(*) = 0)::BOOLEAN AS same FROM (SELECT c_nationkey FROM customer EXCEPT SELECT n_nationkey FROM nation) WHERE c_nationkey IS NOT NULL")
+@query("""WITH l AS (SELECT c_mktsegment AS segment, CASE WHEN c_nationkey % 7 = 0 AND c_mktsegment LIKE 'A%' THEN c_nationkey + 100 ELSE c_nationkey END AS k FROM customer), g AS (SELECT DISTINCT c_mktsegment AS segment FROM customer),
+w AS (SELECT segment, n_nationkey AS k FROM g, nation), m AS (SELECT * FROM w EXCEPT SELECT * FROM l), x AS (SELECT * FROM l EXCEPT SELECT * FROM w)
+SELECT (SELECT count(*) FROM m) = 0 AND (SELECT count(*) FROM x) = 0 AS same, (SELECT count(*) FROM m) AS missing, (SELECT count(*) FROM x) AS extra""")
 def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether all nations' keys, and no others, occur among customers."""
-    left = roles.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
-    found = diff.missing_and_extra(left, roles.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), ["k"])
-    return found.filter("status = 'missing'").agg((F.count(F.lit(1)) == 0).alias("same"))
+    """Whether every segment's customers come from all nations and no others; one segment has strange ones in the place of some."""
+    customers, nation = roles.table(spark, sf_dir, "customer"), roles.table(spark, sf_dir, "nation")
+    strange = (F.pmod("c_nationkey", F.lit(7)) == 0) & F.startswith(F.col("c_mktsegment"), F.lit("A"))
+    actual = customers.select(F.col("c_mktsegment").alias("segment"), F.when(strange, F.col("c_nationkey") + 100).otherwise(F.col("c_nationkey")).alias("k"))
+    wanted = quality.expected_keys(customers.select(F.col("c_mktsegment").alias("segment")), nation.select(F.col("n_nationkey").alias("k")))  # 25 nations
+    return diff.set_equality(wanted, actual, ["segment", "k"])
+
+
+@query(f"""WITH {_RESULTS}, p AS (SELECT *, CASE WHEN task % 11 = 4 THEN 'v2' ELSE 'v1' END AS version FROM res WHERE task % 9 <> 2), e AS (SELECT n_nationkey AS task, n_regionkey AS class FROM nation),
+f AS (SELECT e.task, 'missing' AS fault FROM e WHERE task NOT IN (SELECT task FROM p) UNION SELECT task, 'partial' FROM p WHERE total_num < 20 UNION SELECT task, 'protocol' FROM p WHERE version <> 'v1'),
+n AS (SELECT task, count(*) AS n FROM f GROUP BY 1)
+SELECT e.class, sum(succ_num) AS succ, sum(total_num) AS total, CASE WHEN coalesce(sum(n), 0) = 0 THEN round(sum(succ_num) / sum(total_num), 6) END AS pooled_rate, coalesce(sum(n), 0)::BIGINT AS faults
+FROM e LEFT JOIN p USING (task) LEFT JOIN n USING (task) GROUP BY 1""")
+def pooled_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled success by class; missing, partial and other protocols' results leave their class without a rate."""
+    results = _results(spark, sf_dir).filter("task % 9 <> 2").drop("class").withColumn("version", F.when(F.pmod("task", F.lit(11)) == 4, "v2").otherwise("v1"))
+    tasks = roles.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("task"), F.col("n_regionkey").alias("class"))
+    return evaluation.pooled_success(tasks, results, "task", "class", 20, {"version": "v1"}).withColumn("pooled_rate", F.round("pooled_rate", 6))
+
+
+@query(f"""WITH {_RESULTS} SELECT n_nationkey AS task, CASE WHEN total_num IS NULL THEN 'fresh' WHEN n_nationkey % 4 = 1 THEN 'mismatch' ELSE 'resumed' END AS status,
+ CASE WHEN total_num IS NULL OR n_nationkey % 4 = 1 THEN 0 ELSE succ_num END AS succ_num, CASE WHEN total_num IS NULL OR n_nationkey % 4 = 1 THEN 0 ELSE total_num END AS total_num FROM nation LEFT JOIN res ON task = n_nationkey""")
+def resumed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of an evaluation that goes on: those made with another seed or step count are refused."""
+    results = _results(spark, sf_dir).withColumns({"seed": F.when(F.col("task") % 4 == 1, 8).otherwise(7), "steps": F.lit(50)})
+    now = roles.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("task"), F.lit(7).alias("seed"), F.lit(50).alias("steps"))
+    return evaluation.resumable(now, results, "task", ["seed", "steps"])
