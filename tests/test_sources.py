@@ -120,3 +120,21 @@ def test_dropped_records(spark):
     r = spark.createDataFrame([(0, 1), (0, 1), (0, 2)], "training_attempt_id int, optimizer_step int")
     k = spark.createDataFrame([(0, 2)], "training_attempt_id int, optimizer_step int")
     assert [tuple(x) for x in streams.uncommitted(r, k).collect()] == [(0, 1, 2)]
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    texts = {"a": "".join(f"line {i}" + ("\r" if i % 7 == 3 else "\r\n" if i % 5 == 1 else "\n") for i in range(500)), "b": "\n\nonly\n\n", "c": "", "d": "last without end"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        found = readers.numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5  # one file is read by several tasks
+        rows = sorted((r["file"].rsplit("/", 1)[1], r["line"], r["value"]) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert [r for r in rows if r[0] == "a"] == [("a", i + 1, f"line {i}") for i in range(500)]
+    assert [r for r in rows if r[0] != "a"] == [("b", 1, ""), ("b", 2, ""), ("b", 3, "only"), ("b", 4, ""), ("d", 1, "last without end")]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import scalars, vectors
 from ..operators import lineage, sequences
 from ..sources import readers
@@ -177,24 +178,37 @@ def mask_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id % 200 AS step, arg_max(event_id % 1000, event_id)::DOUBLE AS eff_labels, arg_max(round(value, 3), event_id) AS total_loss FROM events GROUP BY 1")
 def log_regex_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric lines made of events, scanned by patterns; the last line of a step wins."""
-    line = F.format_string("2026-01-02 03:04:05 Training: total_loss=%.3f, step=%d, eff_labels=%d", F.col("value"), F.pmod("event_id", F.lit(200)), F.pmod("event_id", F.lit(1000)))
-    lines = roles.table(spark, sf_dir, "events").select(line.alias("line"), F.col("event_id").alias("n"))
-    return readers.last_by_step(lines, ["eff_labels", "total_loss"])
+    """Metric lines of a log, scanned by patterns; the last line of a step wins. Carriage returns end lines as well."""
+    text = F.format_string("2026-01-02 03:04:05 Training: total_loss=%.3f, step=%d, eff_labels=%d\rprogress", F.col("value"), F.pmod("event_id", F.lit(200)), F.pmod("event_id", F.lit(1000)))
+    return readers.last_by_step(_logged(spark, sf_dir, text), ["eff_labels", "total_loss"], "at")
+
+
+def _logged(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    """Events as the files of one log, in their order, and its lines with their place."""
+    path = scratch.place(spark, "log")
+    rows = roles.table(spark, sf_dir, "events").select("event_id", text.alias("value"))
+    rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    return readers.log_lines(spark, path).select("line", F.struct("file", "n").alias("at"))
 
 
 @query("SELECT (event_id % 20)::DOUBLE AS step, (user_id % 4)::DOUBLE AS mem_gb, min(event_id) AS n FROM events GROUP BY 1, 2")
 def log_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.format_string("step=%d, mem_gb=%d", F.pmod("event_id", F.lit(20)), F.pmod("user_id", F.lit(4)))
-    lines = roles.table(spark, sf_dir, "events").select(line.alias("line"), F.col("event_id").alias("n"))
-    return readers.first_of_tuple(lines, ["step", "mem_gb"])
+    """Lines without repeats of the same values; which event wrote the first of them."""
+    text = F.format_string("step=%d, mem_gb=%d, event=%d", F.pmod("event_id", F.lit(20)), F.pmod("user_id", F.lit(4)), F.col("event_id"))
+    lines = _logged_events(spark, sf_dir, text)
+    return readers.first_of_tuple(lines, ["step", "mem_gb"], "at").select("step", "mem_gb", F.col("at.event").cast("long").alias("n"))
+
+
+def _logged_events(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    lines = _logged(spark, sf_dir, text)
+    return lines.select("line", F.struct("at.file", "at.n", readers.metric("line", "event").alias("event")).alias("at"))
 
 
 @query("SELECT (user_id % 8)::INT AS gpu, round(max(round(value, 2)), 2) AS peak_mib FROM events WHERE event_id % 11 <> 0 GROUP BY 1")
 def gpu_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monitor lines with six fields; shorter ones are skipped."""
     full = F.format_string("2026/01/02 03:04:05, %d, %.2f MiB, 81920 MiB, 99 %%, 300 W", F.pmod("user_id", F.lit(8)), F.col("value"))
-    lines = roles.table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 11 == 0, "index, memory.used").otherwise(full).alias("line"))
+    lines = _logged(spark, sf_dir, F.when(F.col("event_id") % 11 == 0, "index, memory.used").otherwise(full))
     return readers.gpu_peaks(lines).withColumn("peak_mib", F.round("peak_mib", 2))
 
 

@@ -44,7 +44,7 @@ def jsonl_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = (F.when(F.col("o_orderkey") % 50 == 0, F.concat(F.lit("["), k, F.lit("]"))).when(F.col("o_orderkey") % 50 == 1, F.concat(F.lit('{"k": '), k))
             .when(F.col("o_orderkey") % 50 == 2, " ").otherwise(F.concat(F.lit('{"k": '), k, F.lit("}"))))
     path = _lines(spark, roles.table(spark, sf_dir, "orders").select(line.alias("value")), "lines")
-    return readers.jsonl_errors(spark, path).filter("line > 0").select("value")
+    return readers.jsonl_errors(spark, path).select("value")
 
 
 @query("SELECT 25::BIGINT AS n")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import StructType
 
 from ..functions import scalars
@@ -37,11 +38,28 @@ def jsonl_strict(spark: SparkSession, path: str | list[str], schema: str | Struc
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str], separator: str | None = None) -> DataFrame:
+    """(file, line, value): every line with its number from 1 in its file, however many tasks read the file.
+
+    The scan splits files into blocks of bytes and reads each block's lines in
+    order; a line's number is its place in the block and the count of lines of
+    the file's blocks before, which is a row for each block.  Without a
+    separator carriage returns end lines as well.
+    """
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    rows = reader.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__m"), "value")
+    counts = rows.groupBy("file", "__block").agg(F.min("__m").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    joined = rows.join(offsets, ["file", "__block"])
+    return joined.select("file", (F.col("__before") + F.col("__m") - F.col("__first") + 1).alias("line"), "value")
+
+
 def jsonl_errors(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of non-blank lines that hold no JSON object; the line is counted within its file."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "value"))
+    """(file, line, value) of non-blank lines that hold no JSON object, in their order; the line is counted within its file."""
     bad = F.expr("try_parse_json(value)").isNull() | (F.ltrim("value").substr(1, 1) != "{")
-    return lines.filter(F.trim("value") != "").filter(bad).select("file", (F.col("n") + 1).alias("line"), "value")
+    return numbered_lines(spark, path, "\n").filter(F.trim("value") != "").filter(bad).orderBy("file", "line")
 
 
 def json_object(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
@@ -98,9 +116,8 @@ def csv_rows(spark: SparkSession, path: str | list[str], schema: str | None = No
 
 
 def log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, n, line): carriage returns end lines as well."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("n", "line"))
+    """(file, n, line): carriage returns end lines as well; n counts from 0."""
+    return numbered_lines(spark, path).select("file", (F.col("line") - 1).alias("n"), F.col("value").alias("line"))
 
 
 def metric(line: str | Column, name: str) -> Column:
