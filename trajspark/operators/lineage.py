@@ -75,13 +75,13 @@ def exposures(slots: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def exposures_with_sets(slots: DataFrame) -> DataFrame:
-    """Exposures with the sorted sets of views and phases and the number of ranks."""
+def exposures_with_sets(slots: DataFrame, sets: tuple[str, ...] = ("source_view", "phase")) -> DataFrame:
+    """Exposures with the sorted sets of views and phases (or of other columns: subset manifests), each named in the plural, and the number of ranks."""
     hit = slots.filter("optimizer_update_applied").filter(is_effective())
     return hit.groupBy(*TARGET).agg(
         F.sum("weight").alias("exposure_weighted"), F.count(F.lit(1)).alias("exposure_unweighted"),
         F.min("optimizer_step").alias("first_step"), F.max("optimizer_step").alias("last_step"),
-        F.sort_array(F.collect_set("source_view")).alias("source_views"), F.sort_array(F.collect_set("phase")).alias("phases"),
+        *[F.sort_array(F.collect_set(name)).alias(f"{name}s") for name in sets],
         F.count_distinct("rank").alias("rank_count"),
     )
 

@@ -66,10 +66,13 @@ def exposure_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {roles.SLOTS}, s AS (SELECT dataset, task, episode, target_t, count(DISTINCT rank) AS rank_count, string_agg(DISTINCT dataset, ',' ORDER BY dataset) AS source_views,
- string_agg(DISTINCT task, ',' ORDER BY task) AS phases, count(*) AS exposure_unweighted FROM hits GROUP BY ALL) SELECT * FROM s""")
+ string_agg(DISTINCT task, ',' ORDER BY task) AS phases, string_agg(DISTINCT 'm' || (occurrence % 3), ',' ORDER BY 'm' || (occurrence % 3)) AS subset_manifest_ids, count(*) AS exposure_unweighted FROM hits GROUP BY ALL) SELECT * FROM s""")
 def exposure_with_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lineage.exposures_with_sets(roles.slots(spark, sf_dir))
-    return rows.select(*lineage.TARGET, "rank_count", F.array_join("source_views", ",").alias("source_views"), F.array_join("phases", ",").alias("phases"), "exposure_unweighted")
+    """Exposures of each target with the views, phases and subset manifests that they came from."""
+    slots = roles.slots(spark, sf_dir).withColumn("subset_manifest_id", F.concat(F.lit("m"), F.pmod("occurrence_id", F.lit(3)).cast("string")))
+    rows = lineage.exposures_with_sets(slots, ("source_view", "phase", "subset_manifest_id"))
+    lists = [F.array_join(c, ",").alias(c) for c in ("source_views", "phases", "subset_manifest_ids")]
+    return rows.select(*lineage.TARGET, "rank_count", *lists, "exposure_unweighted")
 
 
 @query(f"""WITH {roles.ELIGIBLE} SELECT e.episode, e.target_t, s.eu IS NOT NULL AS seen, coalesce(s.eu, 0) AS exposure_unweighted, round(coalesce(s.ew, 0.0), 6) AS exposure_weighted
