@@ -139,6 +139,21 @@ def launch_status(launches: DataFrame, manifests: DataFrame, key: str, fields: l
     return own.join(known, key, "left").select(key, "fingerprint", status.alias("status"))
 
 
+def resume_rules(saved: DataFrame, current: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Whether runs can go on from saved states: the dataset's fingerprint and the topology (``fields``) must be those of the state.
+
+    A field that an old state doesn't have (null) differs from any value; runs
+    without a state, states of no run and repeated states are faults of their own.
+    """
+    s = saved.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct(*fields)).alias("s"))
+    both = s.join(current.select(key, F.struct(*fields).alias("c")), key, "full_outer")
+    matched = F.col("s").isNotNull() & F.col("c").isNotNull()
+    return quality.violations(both, key, {
+        "no_state": F.col("s").isNull(), "no_run": F.col("c").isNull(), "repeated_state": F.col("__n") > 1,
+        **{f"differing_{f}": matched & ~F.col(f"s.{f}").eqNullSafe(F.col(f"c.{f}")) for f in fields},
+    })
+
+
 def mesh_ids(spark: SparkSession, f: int, h: int, w: int, t: int, f_weight: int = 1, f_shift: int = 0, action: bool = False) -> DataFrame:
     """(place, f, h, w, t) of a grid; action rows lie between frames and have -1 for height and width."""
     places = spark.range(f * h * w).withColumnRenamed("id", "place")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, vectors
-from ..operators import audit, intervals, lineage, overlay, quality, sequences
+from ..operators import audit, contracts, intervals, lineage, overlay, quality, sequences
 from . import roles
 from .registry import query
 
@@ -181,3 +181,19 @@ def rotation_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = F.abs(F.abs(vectors.dot("q", "r")) - 1) < 1e-9
     return back.groupBy("convention").agg(
         *[F.round(F.sum(F.col("q")[i]), 4).alias(n) for i, n in enumerate("wxyz")], F.count(F.lit(1)).alias("turns"), F.count_if(same).alias("restored"))
+
+
+@query("""WITH r AS (SELECT s_suppkey AS k, s_suppkey % 13 = 1 AS gone, s_suppkey % 11 = 2 AS twice, s_suppkey % 7 = 3 AS fp, s_suppkey % 5 = 4 AS world, s_suppkey % 17 = 5 AS old FROM supplier)
+SELECT k::VARCHAR AS key, 'no_state' AS rule FROM r WHERE gone UNION ALL SELECT (-1 - k)::VARCHAR, 'no_run' FROM r WHERE k % 19 = 6 UNION ALL SELECT k::VARCHAR, 'repeated_state' FROM r WHERE twice AND NOT gone UNION ALL
+SELECT k::VARCHAR, 'differing_dataset_fingerprint' FROM r WHERE fp AND NOT gone UNION ALL SELECT k::VARCHAR, 'differing_world_size' FROM r WHERE world AND NOT gone UNION ALL SELECT k::VARCHAR, 'differing_accumulation' FROM r WHERE old AND NOT gone""")
+def resume_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as runs against states saved before: other data, another number of ranks, a field the state doesn't have yet, states that are missing, repeated or of no run."""
+    k = F.col("s_suppkey")
+    when = lambda n, r: F.pmod(k, F.lit(n)) == r
+    runs = roles.table(spark, sf_dir, "supplier").select(
+        k.alias("run"), k, F.sha2(F.col("s_nationkey").cast("string"), 256).alias("dataset_fingerprint"), F.lit(8).alias("world_size"), F.lit(4).alias("accumulation"))
+    saved = runs.filter(~when(13, 1)).withColumns({
+        "dataset_fingerprint": F.when(when(7, 3), F.sha2(F.lit("other"), 256)).otherwise(F.col("dataset_fingerprint")), "world_size": F.when(when(5, 4), 4).otherwise(8),
+        "accumulation": F.when(~when(17, 5), 4)})
+    saved = saved.unionByName(saved.filter(when(11, 2))).unionByName(runs.filter(when(19, 6)).withColumn("run", -1 - k))
+    return contracts.resume_rules(saved, runs, "run", ["dataset_fingerprint", "world_size", "accumulation"])
