@@ -13,6 +13,8 @@ from . import diff, order, quality
 
 #: Rows of zeros before a sidecar's real actions, and the width and length step of its rows.
 ZERO_PREFIX, ACTION_WIDTH, ALIGNMENT, ANCHOR_WIDTH = 16, 19, 16, 12
+#: A latent record's grid of cells, channels, type, video size and the frames of a video to one latent frame.
+LATENT_GRID, LATENT_CHANNELS, LATENT_TYPE, VIDEO_SIZE, IMAGE_STRIDE, LATENT_STRIDE = (14, 14), 48, "bfloat16", (224, 224), 4, 4
 
 
 def field_rules(rows: DataFrame, key: str, expected: dict[str, object]) -> DataFrame:
@@ -57,6 +59,27 @@ def sidecar_rules(sidecars: DataFrame, key: str) -> DataFrame:
     })
 
 
+def latent_rules(records: DataFrame, key: str) -> DataFrame:
+    """Latent records against what their episode asks for; a record without violations can be kept on a resume.
+
+    A row has the record's fields (``file`` is null where there is no file) and
+    ``want_length``, ``want_task``, ``want_camera``, ``want_frame_ids`` and
+    ``want_fps``.  A field that a record lacks (null) differs; a missing file
+    is one violation only.
+    """
+    frames = F.size("want_frame_ids")
+    latent = F.floor((frames - 1) / F.lit(LATENT_STRIDE)).cast("int") + 1
+    (h, w), (vh, vw) = LATENT_GRID, VIDEO_SIZE
+    wanted = {
+        "latent_shape": F.array(latent * h * w, F.lit(LATENT_CHANNELS)), "latent_dtype": F.lit(LATENT_TYPE), "latent_num_frames": latent, "latent_height": F.lit(h), "latent_width": F.lit(w),
+        "video_num_frames": frames, "source_video_num_frames": F.col("want_length"), "video_height": F.lit(vh), "video_width": F.lit(vw), "text": F.col("want_task"),
+        "camera_key": F.col("want_camera"), "frame_ids": F.col("want_frame_ids"), "start_frame": F.lit(0), "end_frame": F.col("want_length"), "fps": F.col("want_fps"),
+        "ori_fps": F.col("want_fps"), "image_stride": F.lit(IMAGE_STRIDE), "finite": F.lit(True), "has_text_embedding": F.lit(False),
+    }
+    there = F.col("file").isNotNull()
+    return quality.violations(records, key, {"missing_file": ~there} | {f"differing_{c}": there & ~F.col(c).eqNullSafe(v) for c, v in wanted.items()})
+
+
 def boundary_changes(before: DataFrame, after: DataFrame, key: str, fields: list[str], first: int = 20) -> DataFrame:
     """For each field how many keys changed it over a boundary, and the first of them in order (a report of ``first`` names)."""
     changed = diff.compare(before, after, [key], fields).filter("status = 'changed'").select(key, F.explode("fields").alias("field"))

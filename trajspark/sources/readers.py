@@ -14,8 +14,9 @@ from pyspark.sql.types import StructType
 
 from ..functions import scalars
 
-#: The shapes of the log lines.
+#: The shapes of the log lines and the names of shard summaries.
 METRIC_LINE = r"{name}\s*=\s*([-+0-9.eEinfa]+)"
+ATTEMPT_SUMMARY, RANK_SUMMARY = r"^lineage_rank[0-9]_.*_summary\.json$", r"^lineage_rank[0-9]_summary\.json$"
 TIMESTAMP = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
 
 LINEAGE = (
@@ -90,6 +91,15 @@ def shard_paths(spark: SparkSession, summaries: str) -> list[str]:
     return [r["path"] for r in rows.select(F.explode("shards").alias("s")).select("s.path").distinct().orderBy("path").collect()]
 
 
+def shard_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, sha256) that a folder's summaries of ranks list, each path once; summaries of whole ranks count only where no attempt has one."""
+    found = spark.read.schema("rank INT, shards ARRAY<STRUCT<path: STRING, sha256: STRING>>").option("multiLine", True).option("pathGlobFilter", "lineage_rank*_summary.json").json(folder)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    rows = found.select("shards", F.when(name.rlike(ATTEMPT_SUMMARY), 1).when(name.rlike(RANK_SUMMARY), 2).alias("kind")).filter("kind is not null")
+    chosen = rows.agg(F.min("kind").alias("kind"))  # one row
+    return rows.join(F.broadcast(chosen), "kind").select(F.explode("shards").alias("s")).groupBy("s.path").agg(F.min("s.sha256").alias("sha256"))
+
+
 def repositories(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Dataset directories under the roots, found by their info.json, each once."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "info.json").load(roots)
