@@ -69,6 +69,17 @@ def test_slots_are_told_apart_by_the_match(spark):
     assert found[50]["text"] == "Title 50\ntext 50\nnever seen"
 
 
+def test_names_inside_an_article(spark):
+    html = (
+        "<html><body><header><h1>Site</h1></header><div class='page has-sidebar'><div class='sidebar'>S</div><article class='post no-banner'><header class='post-header'><h1>Title {0}</h1><p>by {0}</p></header>"
+        "<section class='share-price'><p>price {0}</p></section><div class='share-buttons'>send {0}</div><div class='post-header'><h2>Part {0}</h2></div><div class='menu header'><p>go {0}</p></div>"
+        "<div class='comments-area'><p>reader {0}</p></div><section class='related-posts'><h2>more {0}</h2></section><div class='ad'>buy {0}</div><p>end {0}</p></article></div><footer>f</footer></body></html>"
+    )
+    found = extract(spark, [(i, "http://n.com/x", html.format(i)) for i in range(9)])
+    for i in range(9):
+        assert found[i]["text"] == f"Title {i}\nby {i}\nprice {i}\nPart {i}\nend {i}"
+
+
 def test_raw_elements_hold_no_tags(spark):
     html = '<html><body><script>var c="<!--";</script><style>/* <p> */</style><article><p>real {0}</p><textarea><!-- </textarea><p>more {0}</p></article><p>after {0}</p></body></html>'
     found = extract(spark, [(i, "http://r.com/", html.format(i)) for i in range(2)])
