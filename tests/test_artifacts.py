@@ -144,3 +144,36 @@ def test_latent_records_without_a_field_differ(spark):
     lacking = [(i, *good[:i], None, *good[i + 1:]) for i in range(6, len(good))]
     found = contracts.latent_rules(spark.createDataFrame([(0, *good), *lacking, (99, None, *good[1:])], kind), "k").collect()
     assert sorted(r["rule"] for r in found) == sorted([f"differing_{c.split()[0]}" for c in kind.split(", ")[7:]] + ["missing_file"])
+
+
+def test_payloads_are_those_of_json(spark):
+    from pyspark.sql import functions as F
+
+    from trajspark.functions import scalars
+
+    values = [0.1, 1e16, 1e-5, 123456789.123, 2e-3, 1e23, -0.0, 5e-324, 1e15, 3.0, None]
+    kind = "word string, x double, n long, l array<double>, m map<string, struct<b: boolean, a: string>>, d date"
+    rows = [(f"é\u4e2d\U0001f600 {i} \\n\"", v, i if i % 2 else None, [v, None], {"z": (True, "q"), "a": (None, None)}, None) for i, v in enumerate(values)]
+    found = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, " + kind).select("i", F.struct(*[k.split(" ")[0] for k in ("word", "x", "n", "l", "m", "d")]).alias("p"))
+    got = {r["i"]: r["j"] for r in found.select("i", scalars.payload_json("p").alias("j")).collect()}
+    for i, (word, x, n, items, m, d) in enumerate(rows):
+        own = {"word": word, "x": x, "n": n, "l": items, "m": {k: {"b": b, "a": a} for k, (b, a) in m.items()}, "d": d}
+        assert got[i] == json.dumps(own, sort_keys=True, separators=(",", ":"))
+
+
+def test_segments_without_fields(spark):
+    from trajspark.operators import selectors
+
+    kind = "episode long, length long, action_config array<struct<start_frame: int, end_frame: int>>"
+    rows = spark.createDataFrame([(1, 10, [(0, 12), None, (5, 5)]), (2, 4, []), (3, 9, None)], kind)
+    found = [tuple(r) for r in selectors.segment_fields(rows).orderBy("segment").collect()]
+    assert found == [(1, 0, 0, 12, 0, 9, [0, 4, 8], 10, False, False), (1, 2, 5, 5, 5, 4, [], 0, False, False)]
+
+
+def test_equal_inventories_and_streams_have_no_difference(spark):
+    from trajspark.operators import diff
+
+    state = spark.createDataFrame([("a", *["x"] * len(diff.STATE_FIELDS)), ("b", *[None] * len(diff.STATE_FIELDS))], ", ".join(f"{c} string" for c in ("parameter_name", *diff.STATE_FIELDS)))
+    assert tuple(diff.inventory_report(state, state).first()) == (0, 0, 0, True, "")
+    rows = spark.createDataFrame([(s, r, s, 0, "i", f"a{s}") for s in range(5) for r in range(2)], "optimizer_step long, rank long, microbatch_id long, gradient_accumulation_index long, items string, attempt string")
+    assert diff.compare_signatures(rows, rows.withColumn("attempt", diff.F.lit("other")), ["items"]).count() == 0

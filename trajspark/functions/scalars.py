@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import DoubleType, LongType, StringType
 
 #: Fixed values of the file and number formats.
 EPSILON = 1e-6
@@ -37,6 +39,32 @@ def stable_hash(**fields: str | Column) -> Column:
     return F.sha2(canonical_json(**fields), 256)
 
 
+def _listed(value: object) -> object:
+    """A value as JSON has it: structs and maps with string keys, lists; what JSON lacks is its text."""
+    if isinstance(value, dict):
+        return {str(k): _listed(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_listed(v) for v in value]
+    return value if value is None or isinstance(value, (bool, int, float, str)) else str(value)
+
+
+@F.arrow_udf(StringType())
+def payload_json(payload: pa.Array) -> pa.Array:
+    """The canonical JSON of a struct (an Arrow function), with its nulls, nested lists, structs and maps.
+
+    Keys are sorted at every depth, separators are compact, other letters than
+    ASCII are escaped, and floating-point numbers have their shortest form;
+    dates, decimals and binary values are their text.  A null struct is ``null``.
+    """
+    rows = payload.to_pylist(maps_as_pydicts="strict")
+    return pa.array([json.dumps(_listed(r), sort_keys=True, separators=(",", ":")) for r in rows], pa.string())
+
+
+def payload_hash(payload: str | Column) -> Column:
+    """SHA-256 of :func:`payload_json`, where fields are floating-point, nested or null; else :func:`stable_hash` does without Python."""
+    return F.sha2(payload_json(c(payload)).cast("binary"), 256)
+
+
 def occurrence_id(run: str | Column, rank: str | Column, step: str | Column, microbatch: str | Column, slot: str | Column) -> Column:
     return stable_hash(logical_run_id=run, rank=rank, optimizer_step=step, microbatch_id=microbatch, sample_slot=slot)
 

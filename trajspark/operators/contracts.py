@@ -149,6 +149,35 @@ def output_path_rules(outputs: DataFrame, root: str, protected: list[str]) -> Da
     })
 
 
+def setup_rules(setups: DataFrame, requests: DataFrame, files: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """Whether artifacts of a setup are those that a request needs, and are still the ones that it recorded.
+
+    ``setups``: setup, output_root, source_root, model_root, selected_episodes,
+    selected_episode_count, tasks, task_count, artifacts (a map of names and,
+    as ``<kind>_sha256``, digests).  ``requests``: setup, output_root,
+    model_root.  ``files``: setup, name, sha256.  ``expected``: the file name
+    of each kind.  A setup without a request is not looked at.
+    """
+    asked = requests.select("setup", F.col("output_root").alias("__output"), F.col("model_root").alias("__model"))
+    there = files.groupBy("setup").agg(F.map_from_entries(F.collect_list(F.struct("name", F.lower("sha256")))).alias("__files"))  # a few files a setup
+    rows = asked.join(setups.withColumn("__own", F.lit(True)), "setup", "left").join(there, "setup", "left")
+    own = F.col("__own").isNotNull()
+    inside = lambda a, b: F.startswith(F.concat(F.rtrim(a, F.lit("/")), F.lit("/")), F.concat(F.rtrim(b, F.lit("/")), F.lit("/")))
+    out, source = F.col("__output"), F.col("source_root")
+    rules = {
+        "no_setup": ~own, "other_output": own & ~F.col("output_root").eqNullSafe(out), "overlapping_roots": inside(out, source) | inside(source, out), "other_model": own & ~F.col("model_root").eqNullSafe(F.col("__model")),
+        "episode_count": own & ~F.col("selected_episode_count").eqNullSafe(F.size("selected_episodes")), "task_count": own & ~F.col("task_count").eqNullSafe(F.size("tasks")),
+        "repeated_episode": F.size(F.array_distinct("selected_episodes")) < F.size("selected_episodes"), "repeated_task": F.size(F.array_distinct("tasks")) < F.size("tasks"),
+    }
+    for kind, name in expected.items():
+        found = F.try_element_at("__files", F.lit(name))
+        rules |= {
+            f"unexpected_{kind}": own & ~F.try_element_at("artifacts", F.lit(kind)).eqNullSafe(F.lit(name)), f"missing_{kind}": own & found.isNull(),
+            f"digest_{kind}": own & found.isNotNull() & ~F.lower(F.try_element_at("artifacts", F.lit(f"{kind}_sha256"))).eqNullSafe(found),
+        }
+    return quality.violations(rows, "setup", rules)
+
+
 def identity_digest(*fields: str) -> Column:
     """Digest of a launch's identity: its fields as canonical JSON; a field without a value is left out."""
     return scalars.stable_hash(**{f: F.col(f) for f in fields})

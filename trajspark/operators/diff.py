@@ -24,6 +24,39 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str
     return both.select(*keys, status.alias("status"), listed.alias("fields")).filter("status is not null")
 
 
+#: What the inventories of an optimizer's state have for each parameter, and what a bundle compares beside that.
+STATE_FIELDS = (
+    "optimizer_state_present", "optimizer_state_keys", "optimizer_step", "exp_avg_shape", "exp_avg_dtype", "exp_avg_checksum",
+    "exp_avg_sq_shape", "exp_avg_sq_dtype", "exp_avg_sq_checksum",
+)
+BUNDLE_FIELDS = ("optimizer_group_index", "position_in_group", *STATE_FIELDS, "step_checksum")
+#: What a microbatch's signature keeps when attempts are compared, and its place in the two orders of streams.
+SIGNATURE_FIELDS = ("optimizer_step", "rank", "microbatch_id", "gradient_accumulation_index")
+
+
+def inventory_report(before: DataFrame, after: DataFrame, key: str = "parameter_name", fields: tuple[str, ...] = STATE_FIELDS, examples: int = 20) -> DataFrame:
+    """One row: parameters that only one side has, those whose state differs, whether all is equal, and the first examples (a report of ``examples`` names with their fields)."""
+    found = compare(before, after, [key], list(fields))
+    of = lambda s: F.col("status") == s
+    one = found.agg(
+        F.count_if(of("missing")).alias("missing"), F.count_if(of("extra")).alias("extra"), F.count_if(of("changed")).alias("state_mismatch_count"), (F.count(F.lit(1)) == 0).alias("equal"))
+    first = found.filter(of("changed")).orderBy(key).limit(examples)
+    listed = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), "fields"))), lambda x: F.concat(x["k"], F.lit(":"), F.array_join(x["fields"], "+"))), ",").alias("examples"))
+    return one.crossJoin(listed)  # one row each
+
+
+def normalised_signatures(rows: DataFrame, content: list[str]) -> DataFrame:
+    """Signatures as runs are compared by: only their place and content; attempts, paths, times and whatever else is recorded are left out."""
+    return rows.select(*[F.col(f).cast("long").alias(f) for f in SIGNATURE_FIELDS], *content)
+
+
+def compare_signatures(left: DataFrame, right: DataFrame, content: list[str]) -> DataFrame:
+    """(rank, place, status) where the normalised streams of a rank, in order of microbatch and step, differ at a place."""
+    own = list(SIGNATURE_FIELDS) + content
+    sides = [normalised_signatures(s, content).withColumn("__s", F.struct(*own)) for s in (left, right)]
+    return compare_positions(*sides, ["rank"], ["microbatch_id", "optimizer_step"], "__s").select("rank", "place", "status")
+
+
 def summary(differences: DataFrame) -> DataFrame:
     return differences.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("missing", "extra", "changed")])
 

@@ -28,6 +28,31 @@ def segments_of(episodes: DataFrame, configs: str = "action_config") -> DataFram
     )
 
 
+#: Fixed value: frames from one latent observation to the next.
+FRAME_STRIDE = 4
+
+
+def segment_fields(episodes: DataFrame, configs: str = "action_config") -> DataFrame:
+    """Segments of episodes (episode, length, configs) with every field, whether or not the configs have it.
+
+    Without a value the id is the place in the list, actions go from the start
+    to the last frame before the end or the episode's own end, frame ids are
+    every fourth from the start, and flags are false.
+    """
+    kind = episodes.schema[configs].dataType.elementType
+    own = lambda name: F.col(f"c.{name}") if name in kind.names else F.lit(None)
+    rows = episodes.select("episode", "length", F.posexplode(configs).alias("place", "c")).filter("c is not null")
+    start, end = F.col("c.start_frame").cast("long"), F.col("c.end_frame").cast("long")
+    first = F.coalesce(own("action_loss_first").cast("long"), start)
+    last = F.coalesce(own("action_loss_last").cast("long"), F.least(end, F.col("length")) - 1)
+    every = F.when(end > start, F.sequence(start, end - 1, F.lit(FRAME_STRIDE).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return rows.select(
+        "episode", F.coalesce(own("segment_id").cast("long"), F.col("place").cast("long")).alias("segment"), start.alias("start"), end.alias("end"), first.alias("first"), last.alias("last"),
+        F.coalesce(own("frame_ids").cast("array<bigint>"), every).alias("frame_ids"), F.coalesce(own("real_action_count").cast("long"), last - first + 1).alias("real_action_count"),
+        *[F.coalesce(own(flag).cast("boolean"), F.lit(False)).alias(flag) for flag in ("contains_pick3_completion", "contains_success_tail")],
+    )
+
+
 def actions(segments: DataFrame, *keep: str) -> DataFrame:
     return segments.filter("last >= first").select("episode", *keep, F.explode(F.sequence("first", "last")).alias("action"))
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .. import scratch
 from ..functions import scalars
-from ..operators import contracts
+from ..operators import contracts, diff, selectors
 from ..sources import artifacts, readers, sinks
 from . import roles
 from .registry import query
@@ -126,3 +126,85 @@ def shard_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
             sinks.atomic_json(f"{root}/{folder}/lineage_rank{rank}_summary.json", shards(rank, [3]))
     found = [spark.read.parquet(*sorted(r["path"] for r in readers.shard_files(spark, f"{root}/{f}").collect())).select("o_orderkey", F.lit(f).alias("folder")) for f in ("attempts", "ranks")]  # a path a shard
     return found[0].unionByName(found[1])
+
+
+@query("""SELECT o_orderkey, sha256('{"customer":' || o_custkey || ',"lines":[' || (o_orderkey % 3) || ',null],"none":' || CASE WHEN o_orderkey % 2 = 0 THEN 'null' ELSE '"x"' END || ',"price":' || o_totalprice::DOUBLE::VARCHAR
+  || ',"status":{"a":"' || o_orderstatus || '","b":' || CASE WHEN o_orderkey % 5 = 0 THEN 'true' ELSE 'false' END || '},"word":"\\u00e9"}') AS digest FROM orders""")
+def payload_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of payloads with nested, floating-point, null and other than ASCII values."""
+    k = F.col("o_orderkey")
+    payload = F.struct(
+        F.lit("\u00e9").alias("word"), F.col("o_totalprice").cast("double").alias("price"), F.col("o_custkey").alias("customer"), F.when(k % 2 == 1, "x").alias("none"),
+        F.array((k % 3).cast("long"), F.lit(None).cast("long")).alias("lines"), F.struct((k % 5 == 0).alias("b"), F.col("o_orderstatus").alias("a")).alias("status"))
+    return roles.table(spark, sf_dir, "orders").select("o_orderkey", payload.alias("payload")).select("o_orderkey", scalars.payload_hash("payload").alias("digest"))
+
+
+@query("""WITH d AS (SELECT doc_id AS e, n_chars AS n FROM documents), c AS (SELECT e, n, 0 AS place, 0 AS s, n + 5 AS f, NULL AS id, NULL AS last FROM d UNION ALL SELECT e, n, 1, 8, 30 + e % 7, e, 20 FROM d WHERE e % 2 = 0)
+SELECT e AS episode, coalesce(id, place)::BIGINT AS segment, s::BIGINT AS start, f::BIGINT AS "end", s::BIGINT AS first, coalesce(last, least(f, n) - 1)::BIGINT AS last, len(range(s, f, 4))::BIGINT AS frames, list_max(range(s, f, 4))::BIGINT AS last_frame,
+  (coalesce(last, least(f, n) - 1) - s + 1)::BIGINT AS real_action_count, place = 1 AND e % 3 = 0 AS contains_success_tail FROM c""")
+def segment_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with all fields, from configs that leave out most of them and reach over the episode's end."""
+    k, none = F.col("doc_id"), F.lit(None)
+
+    def config(segment, start, end, last, tail):
+        values = {"segment_id": segment, "start_frame": start, "end_frame": end, "action_loss_last": last}
+        return F.struct(*[v.cast("bigint").alias(n) for n, v in values.items()], tail.cast("boolean").alias("contains_success_tail"))
+
+    plain, own = config(none, F.lit(0), F.col("n_chars") + 5, none, none), config(k, F.lit(8), 30 + k % 7, F.lit(20), k % 3 == 0)
+    rows = roles.table(spark, sf_dir, "documents").select(k.alias("episode"), F.col("n_chars").alias("length"), F.when(k % 2 == 0, F.array(plain, own)).otherwise(F.array(plain)).alias("action_config"))
+    return selectors.segment_fields(rows).select(
+        "episode", "segment", "start", "end", "first", "last", F.size("frame_ids").cast("long").alias("frames"), F.array_max("frame_ids").alias("last_frame"), "real_action_count", "contains_success_tail")
+
+
+_STATE = list(diff.BUNDLE_FIELDS)
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, [{', '.join(f"CASE WHEN p_partkey % {17 + n} = 3 THEN '{f}' END" for n, f in enumerate(_STATE))}] AS f FROM part WHERE p_partkey % 50 <> 4 AND p_partkey % 60 <> 5),
+c AS (SELECT printf('%09d', k::BIGINT) || ':' || array_to_string(list_filter(f, lambda x: x IS NOT NULL), '+') AS t, k FROM p WHERE len(list_filter(f, lambda x: x IS NOT NULL)) > 0)
+SELECT (SELECT count(*) FROM part WHERE p_partkey % 50 = 4 AND p_partkey % 60 <> 5) AS missing, (SELECT count(*) FROM part WHERE p_partkey % 60 = 5 AND p_partkey % 50 <> 4) AS extra, (SELECT count(*) FROM c) AS state_mismatch_count, false AS equal,
+  (SELECT string_agg(t, ',' ORDER BY k) FROM (SELECT * FROM c ORDER BY k LIMIT 20)) AS examples""")
+def inventory_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The optimizer state of parts before and after, with each of the twelve fields changed in some."""
+    k = F.col("p_partkey")
+    rows = roles.table(spark, sf_dir, "part").select(k, F.format_string("%09d", k).alias("parameter_name"), *[F.concat(F.lit(f), (k % 7).cast("string")).alias(f) for f in _STATE])
+    after = rows.withColumns({f: F.when(k % (17 + n) == 3, "other").otherwise(F.col(f)) for n, f in enumerate(_STATE)})
+    return diff.inventory_report(rows.filter("p_partkey % 60 <> 5"), after.filter("p_partkey % 50 <> 4"), fields=diff.BUNDLE_FIELDS)
+
+
+@query("""WITH r AS (SELECT user_id % 8 AS rank, event_id AS micro, value FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY micro) AS place, count(*) OVER (PARTITION BY rank) AS n FROM r)
+SELECT rank, place, CASE WHEN place > n - 2 AND rank = 3 THEN 'missing' ELSE 'changed' END AS status FROM n WHERE (place > n - 2 AND rank = 3) OR micro % 41 = 6""")
+def signature_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of two attempts that differ in what an attempt records, in some contents and in length."""
+    base = roles.table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 8).alias("rank"), F.col("event_id").alias("microbatch_id"), F.floor(F.col("event_id") / 4).alias("optimizer_step"), (F.col("event_id") % 4).alias("gradient_accumulation_index"), F.col("value").alias("items"))
+    left = base.withColumns({"attempt_id": F.lit("a1"), "path": F.lit("/one")})
+    last = base.filter("rank = 3").orderBy(F.desc("microbatch_id")).limit(2).select("microbatch_id")  # two rows
+    right = base.join(F.broadcast(last), "microbatch_id", "left_anti").withColumns({"attempt_id": F.lit("a2"), "path": F.lit("/two"), "items": F.when(F.col("microbatch_id") % 41 == 6, F.col("items") + 1).otherwise(F.col("items"))})
+    return diff.compare_signatures(left, right, ["items"])
+
+
+_FILES = {"data_manifest": "data_manifest.json", "action_stats": "action_stats_v1.json"}
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier), m AS (SELECT k FROM s WHERE k % 23 <> 8)
+SELECT k::VARCHAR AS key, 'no_setup' AS rule FROM s WHERE k % 23 = 8 UNION ALL SELECT k::VARCHAR, 'other_output' FROM m WHERE k % 7 = 1 UNION ALL SELECT k::VARCHAR, 'overlapping_roots' FROM m WHERE k % 9 = 2 UNION ALL SELECT k::VARCHAR, 'other_model' FROM m WHERE k % 11 = 3 UNION ALL
+SELECT k::VARCHAR, 'episode_count' FROM m WHERE k % 13 = 4 UNION ALL SELECT k::VARCHAR, 'task_count' FROM m WHERE k % 15 = 5 UNION ALL SELECT k::VARCHAR, 'repeated_episode' FROM m WHERE k % 17 = 6 UNION ALL SELECT k::VARCHAR, 'repeated_task' FROM m WHERE k % 19 = 7 UNION ALL
+SELECT k::VARCHAR, 'unexpected_action_stats' FROM m WHERE k % 6 = 0 UNION ALL SELECT k::VARCHAR, 'missing_data_manifest' FROM m WHERE k % 10 = 9 UNION ALL SELECT k::VARCHAR, 'digest_action_stats' FROM m WHERE k % 8 = 3""")
+def setup_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as setups whose roots, counts, lists or artifacts went stale."""
+    k = F.col("s_suppkey")
+    text = lambda prefix: F.concat(F.lit(prefix), k.cast("string"))
+    s = roles.table(spark, sf_dir, "supplier").select(k)
+    requests = s.select(k.alias("setup"), text("/out/").alias("output_root"), F.lit("/models/a").alias("model_root"))
+    ids = F.when(k % 17 == 6, F.array(k, k)).otherwise(F.array(k, k + 1))
+    tasks = F.when(k % 19 == 7, F.array(F.lit("t"), F.lit("t"))).otherwise(F.array(F.lit("t"), F.lit("u")))
+    digest = F.sha2(k.cast("string"), 256)
+    setups = s.filter("s_suppkey % 23 <> 8").select(
+        k.alias("setup"), F.when(k % 7 == 1, F.lit("/out/else")).otherwise(text("/out/")).alias("output_root"), F.when(k % 9 == 2, F.concat(text("/out/"), F.lit("/raw"))).otherwise(text("/raw/")).alias("source_root"),
+        F.when(k % 11 == 3, "/models/b").otherwise("/models/a").alias("model_root"), ids.alias("selected_episodes"), (F.size(ids) + F.when(k % 13 == 4, 1).otherwise(0)).alias("selected_episode_count"),
+        tasks.alias("tasks"), (F.size(tasks) + F.when(k % 15 == 5, 1).otherwise(0)).alias("task_count"),
+        F.create_map(F.lit("data_manifest"), F.lit(_FILES["data_manifest"]), F.lit("action_stats"), F.when(k % 6 == 0, "old.json").otherwise(_FILES["action_stats"]), F.lit("data_manifest_sha256"), digest, F.lit("action_stats_sha256"), digest).alias("artifacts"))
+    files = s.select(k.alias("setup"), F.explode(F.array(*map(F.lit, _FILES.values()))).alias("name"), digest.alias("sha256"))
+    stats = F.col("name") == _FILES["action_stats"]
+    files = files.filter(stats | (F.col("setup") % 10 != 9)).withColumn("sha256", F.when(stats & (F.col("setup") % 8 == 3), F.sha2(F.lit("new"), 256)).otherwise(F.col("sha256")))
+    return contracts.setup_rules(setups, requests, files, _FILES)
