@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import scratch
 from ..functions import scalars
@@ -16,11 +15,10 @@ from .registry import query
 
 def _sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as episodes, a line item a raw row: quantities in the first channel, line numbers in the second."""
-    place = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
-    rows = roles.table(spark, sf_dir, "lineitem").select("l_suppkey", F.row_number().over(place).alias("t"), F.struct("l_quantity", "l_linenumber").alias("v"))
+    rows = roles.table(spark, sf_dir, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("v"))
     row = lambda *v: F.concat(F.array(*v), F.array_repeat(F.lit(0.0).cast("float"), contracts.ACTION_WIDTH - len(v)))
-    own = rows.groupBy(F.col("l_suppkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("raw")).withColumn("raw_length", F.size("raw").cast("long"))
-    real = F.transform(F.slice("raw", F.lit(1), F.greatest(contracts.real_actions("raw_length"), F.lit(0)).cast("int")), lambda x: row(x["v"]["l_quantity"].cast("float"), x["v"]["l_linenumber"].cast("float")))
+    own = rows.groupBy(F.col("l_suppkey").alias("k")).agg(F.sort_array(F.collect_list("v")).alias("raw")).withColumn("raw_length", F.size("raw").cast("long"))
+    real = F.transform(F.slice("raw", F.lit(1), F.greatest(contracts.real_actions("raw_length"), F.lit(0)).cast("int")), lambda x: row(x["l_quantity"].cast("float"), x["l_linenumber"].cast("float")))
     zeros = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), contracts.ACTION_WIDTH), contracts.ZERO_PREFIX)
     return own.select(
         "k", F.format_string("episode_%06d", "k").alias("name"), "raw_length", F.sha2(F.concat_ws(":", "k", "raw_length"), 256).alias("raw_sha256"), F.concat(zeros, real).alias("action"),

@@ -34,8 +34,8 @@ COUNTS = ("source_length", "real_action_count", "zero_prefix_count", "tail_disca
 DIGEST = "source_parquet_sha256"
 
 MARKER, VIEW_MARKER = "_SIDECARS.json", "_VIEW.json"
-#: Bytes of files that a task reads, and of decoded arrays in a batch.
-TASK_BYTES, BATCH_BYTES = 64_000_000, 16_000_000
+#: Bytes of (compressed) files that a task reads, and of decoded arrays in a batch.
+TASK_BYTES, BATCH_BYTES = 4_000_000, 16_000_000
 
 WRITTEN = "name STRING, action ARRAY<ARRAY<FLOAT>>, anchor ARRAY<FLOAT>, source_length LONG, source_sha256 STRING"
 _MANIFEST = "name STRING, path STRING, bytes LONG, sha256 STRING"
