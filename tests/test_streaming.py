@@ -156,3 +156,18 @@ def test_idle_state_ends(spark, tmp_path, kind):
         assert [r["cursor"] for r in sorted(last, key=lambda r: r["seq"])] == [1, 1]  # it started anew
     if kind == "cache":
         assert max(r["batch"] for r in last) > 0 and [r["n"] for r in last if r["batch"] == max(x["batch"] for x in last)] == [2]
+
+
+def test_replayed_calls_are_counted_across_frames(spark, tmp_path):
+    schema, calls = "session long, seq long", [(s, n) for s in range(3) for n in range(20)]
+    random.Random(5).shuffle(calls)
+    actions = spark.range(12).selectExpr("id AS step", "id * 0.5 AS action")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a session's calls come in several frames
+    try:
+        for part in (lambda n: n < 9, lambda n: n >= 9):
+            arrive(spark, f"{tmp_path}/in", [c for c in calls if part(c[1])], schema)
+            streams.to_parquet(streams.next_action(streams.files(spark, f"{tmp_path}/in", schema), actions), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("session", "seq", "step", "action").collect())
+    assert found == [(s, n, n, n * 0.5 if n < 12 else None) for s in range(3) for n in range(20)]

@@ -257,17 +257,18 @@ def status_snapshots(stream: DataFrame, target: str, checkpoint: str):
 
 
 def next_action(requests: DataFrame, actions: DataFrame) -> DataFrame:
-    """Replay: the n-th call of a session gets the action at step n of the recording; calls past its end get none."""
+    """Replay: the n-th call of a session gets the action at step n of the recording; calls past its end get none.
+
+    A session's calls of one batch are numbered in the order of ``seq``.  They
+    come in several frames without order, so the numbers of all of them are
+    held (8 bytes each) until the last frame is there.
+    """
 
     def count(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (called,) = state.get if state.exists else (0,)
-        rows = []
-        for frame in frames:
-            for seq in sorted(frame["seq"].tolist()):
-                rows.append((k[0], int(seq), called))
-                called += 1
-        state.update((called,))
-        yield pd.DataFrame(rows, columns=["session", "seq", "step"])
+        calls = np.sort(np.concatenate([frame["seq"].to_numpy(np.int64) for frame in frames]))
+        state.update((called + len(calls),))
+        yield pd.DataFrame({"session": [k[0]] * len(calls), "seq": calls, "step": np.arange(called, called + len(calls))})
 
     calls = requests.groupBy("session").applyInPandasWithState(count, "session long, seq long, step long", "called long", "append", GroupStateTimeout.NoTimeout)
     return calls.join(actions, "step", "left")
