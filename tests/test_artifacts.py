@@ -177,3 +177,14 @@ def test_equal_inventories_and_streams_have_no_difference(spark):
     assert tuple(diff.inventory_report(state, state).first()) == (0, 0, 0, True, "")
     rows = spark.createDataFrame([(s, r, s, 0, "i", f"a{s}") for s in range(5) for r in range(2)], "optimizer_step long, rank long, microbatch_id long, gradient_accumulation_index long, items string, attempt string")
     assert diff.compare_signatures(rows, rows.withColumn("attempt", diff.F.lit("other")), ["items"]).count() == 0
+
+
+def test_no_array_of_a_sidecar_meets_its_source(spark, tmp_path):
+    path = str(tmp_path / "sidecars")
+    artifacts.write_sidecars(frame(spark, rows("ab"), 1), path)
+    sources = spark.createDataFrame([("a", 19, "a-digest"), ("b", 20, "b-digest")], "name string, raw_length long, raw_sha256 string")
+    faults = artifacts.sidecar_faults(artifacts.read_sidecars(spark, path), sources)
+    plan = faults._jdf.queryExecution().optimizedPlan().toString()
+    # a join that sees arrays may send them all through the driver, and each of its branches decodes every file again
+    assert "Join" in plan and "MapInArrow" not in plan and "action#" not in plan and "mask#" not in plan
+    assert {r["rule"] for r in faults.filter("key = 'b'").collect()} >= {"source_length"} and faults.filter("key = 'a'").count() == 0

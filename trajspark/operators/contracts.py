@@ -41,24 +41,44 @@ def real_actions(length: str | Column) -> Column:
     return F.floor((scalars.c(length) - 1) / F.lit(ALIGNMENT)).cast("long") * ALIGNMENT
 
 
-def sidecar_rules(sidecars: DataFrame, key: str) -> DataFrame:
-    """Action sidecars against the raw length and digest that they were made from; one without violations can be reused."""
-    real = F.greatest(real_actions("raw_length"), F.lit(0))
-    rows, width = real + ZERO_PREFIX, lambda r: F.size(r) == ACTION_WIDTH
-    ids = F.concat(F.array_repeat(F.lit(-1).cast("long"), ZERO_PREFIX), scalars.interval_ids(real))
+def sidecar_facts(sidecars: DataFrame, *kept: str) -> DataFrame:
+    """What the rules ask of sidecars, without their arrays: counts, digest and small facts, beside the columns kept.
+
+    ``frame_ids_of`` is the count of real actions that the frame ids are those of, null where they are of none.
+    """
+    width = lambda r: F.size(r) == ACTION_WIDTH
     finite = lambda a: F.forall(a, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
-    return quality.violations(sidecars, key, {
-        "action_shape": (F.size("action") != rows) | ~F.forall("action", width),
-        "mask_shape": (F.size("mask") != rows) | ~F.forall("mask", width), "mask_open": ~F.forall("mask", lambda m: F.forall(m, lambda v: v)),
-        "action_not_finite": ~F.forall("action", finite), "anchor": (F.size("anchor") != ANCHOR_WIDTH) | ~finite("anchor"),
+    count = (F.size("source_frame_ids") - ZERO_PREFIX).cast("long")
+    ids = F.concat(F.array_repeat(F.lit(-1).cast("long"), ZERO_PREFIX), scalars.interval_ids(count))
+    facts = {
+        "action_rows": F.size("action"), "action_wide": F.forall("action", width), "action_finite": F.forall("action", finite),
+        "mask_rows": F.size("mask"), "mask_wide": F.forall("mask", width), "mask_open": F.forall("mask", lambda m: F.forall(m, lambda v: v)),
+        "anchor_whole": (F.size("anchor") == ANCHOR_WIDTH) & finite("anchor"), "frame_ids_of": F.when(F.col("source_frame_ids").eqNullSafe(ids), count),
+        "prefix_zero": F.forall(F.slice("action", 1, ZERO_PREFIX), lambda r: F.forall(r, lambda v: v == 0)), "last_channel_zero": F.forall("action", lambda r: F.element_at(r, -1) == 0),
+    }
+    counts = ("source_length", "real_action_count", "zero_prefix_count", "tail_discarded_count", "source_sha256")
+    return sidecars.select(*kept, *counts, *[fact.alias(name) for name, fact in facts.items()])
+
+
+def fact_rules(facts: DataFrame, key: str) -> DataFrame:
+    """:func:`sidecar_facts` against the raw length and digest that the sidecars were made from."""
+    real = F.greatest(real_actions("raw_length"), F.lit(0))
+    rows, no = real + ZERO_PREFIX, lambda fact: ~F.col(fact)
+    return quality.violations(facts, key, {
+        "action_shape": (F.col("action_rows") != rows) | no("action_wide"), "mask_shape": (F.col("mask_rows") != rows) | no("mask_wide"), "mask_open": no("mask_open"),
+        "action_not_finite": no("action_finite"), "anchor": no("anchor_whole"),
         "source_length": F.col("source_length") != F.col("raw_length"), "real_action_count": F.col("real_action_count") != real,
         "zero_prefix_count": F.col("zero_prefix_count") != ZERO_PREFIX, "tail_discarded_count": F.col("tail_discarded_count") != F.col("raw_length") - real,
-        "source_digest": F.col("source_sha256") != F.col("raw_sha256"), "source_frame_ids": ~F.col("source_frame_ids").eqNullSafe(ids),
-        "prefix_not_zero": ~F.forall(F.slice("action", 1, ZERO_PREFIX), lambda r: F.forall(r, lambda v: v == 0)),
-        "last_channel_not_zero": ~F.forall("action", lambda r: F.element_at(r, -1) == 0),
+        "source_digest": F.col("source_sha256") != F.col("raw_sha256"), "source_frame_ids": ~F.col("frame_ids_of").eqNullSafe(real),
+        "prefix_not_zero": no("prefix_zero"), "last_channel_not_zero": no("last_channel_zero"),
     })
 
 
+def sidecar_rules(sidecars: DataFrame, key: str) -> DataFrame:
+    """Action sidecars against the raw length and digest that they were made from; one without violations can be reused."""
+    return fact_rules(sidecar_facts(sidecars, key, "raw_length", "raw_sha256"), key)
+
+
 def latent_rules(records: DataFrame, key: str) -> DataFrame:
     """Latent records against what their episode asks for; a record without violations can be kept on a resume.
 

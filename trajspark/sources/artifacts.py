@@ -25,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .. import scratch
 from ..operators import contracts, quality, selectors
 from . import sinks
 
@@ -66,12 +67,26 @@ def encode(action: np.ndarray, anchor: np.ndarray, source_length: int, source_sh
 
 def decode(data: bytes) -> dict:
     with np.load(io.BytesIO(data), allow_pickle=False) as found:
+        action, mask = np.asarray(found[ACTION], np.float32), np.asarray(found[MASK], bool)
+        if action.ndim != 2 or mask.ndim != 2:
+            raise ValueError("a sidecar's action and mask are rows of channels")
         return {
-            "action": list(np.asarray(found[ACTION], np.float32)), "mask": list(np.asarray(found[MASK], bool)), "source_frame_ids": np.asarray(found[FRAME_IDS], np.int64),
+            "action": action, "mask": mask, "source_frame_ids": np.asarray(found[FRAME_IDS], np.int64),
             "anchor": np.asarray(found[ANCHOR], np.float32), **{c: int(found[c]) for c in COUNTS}, "source_sha256": str(found[DIGEST]),
         }
 
 
+def _tables(found: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+    """Arrays of two dimensions as lists of lists, from their values as they lie; None is null."""
+    there = [x for x in found if x is not None]
+    widths = np.concatenate([np.full(len(x), x.shape[1], np.int64) for x in there] or [np.zeros(0, np.int64)])
+    values = pa.array(np.concatenate([x.reshape(-1) for x in there]) if there else [], kind.value_type.value_type)
+    rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(widths)]), pa.int32()), values)
+    starts = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in found])])
+    offsets = pa.array(starts, pa.int32(), mask=np.array([*(x is None for x in found), False]))
+    return pa.ListArray.from_arrays(offsets, rows).cast(kind)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """What one task attempt wrote."""
@@ -174,7 +189,9 @@ def _opened(path: str, schema: pa.Schema):
         rows, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist(rows, schema=schema)
+            nested = {"action", "mask"}
+            columns = [_tables([r.get(f.name) for r in rows], f.type) if f.name in nested else pa.array([r.get(f.name) for r in rows], f.type) for f in schema]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
             for listed in batch.to_pylist():
@@ -186,7 +203,7 @@ def _opened(path: str, schema: pa.Schema):
                         row["error"] = "changed"
                     else:
                         row |= decode(data)
-                        size += sum(len(r) for r in row["action"]) * 32
+                        size += row["action"].size * 32
                 except FileNotFoundError:
                     row["error"] = "missing"
                 except (EOFError, KeyError, ValueError, zipfile.BadZipFile):
@@ -217,12 +234,14 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
 
 def sidecar_faults(sidecars: DataFrame, sources: DataFrame) -> DataFrame:
     """(key, rule) for each source (name, raw_length, raw_sha256) whose sidecar can't be reused; repeated names of sidecars are a fault of their own."""
-    named = sidecars.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    # the files are decoded once, where they lie: only facts of fixed size meet the sources, whichever side of the join is sent
+    judged = scratch.materialize(contracts.sidecar_facts(sidecars, "name", "error"), "judged")
+    named = judged.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     state = sources.select("name").join(named, "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     absent = quality.violations(state, "name", {"no_sidecar": F.col("n") == 0, "repeated_sidecar": F.col("n") > 1})
-    unread = sidecars.filter("error is not null").select(F.col("name").alias("key"), F.col("error").alias("rule"))
-    both = sidecars.filter("error is null").join(sources.select("name", "raw_length", "raw_sha256"), "name")
-    return absent.unionByName(unread.join(sources.select(F.col("name").alias("key")), "key", "left_semi")).unionByName(contracts.sidecar_rules(both, "name"))
+    unread = judged.filter("error is not null").select(F.col("name").alias("key"), F.col("error").alias("rule"))
+    both = judged.filter("error is null").join(sources.select("name", "raw_length", "raw_sha256"), "name")
+    return absent.unionByName(unread.join(sources.select(F.col("name").alias("key")), "key", "left_semi")).unionByName(contracts.fact_rules(both, "name"))
 
 
 def write_view(episodes: DataFrame, manifest: DataFrame, info: dict, source: str, path: str) -> dict:
