@@ -171,3 +171,25 @@ def test_replayed_calls_are_counted_across_frames(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     found = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("session", "seq", "step", "action").collect())
     assert found == [(s, n, n, n * 0.5 if n < 12 else None) for s in range(3) for n in range(20)]
+
+
+@pytest.mark.parametrize("phase", ["written", "committed"])
+def test_changes_by_joins_are_those_of_the_state(spark, tmp_path, phase):
+    rng = random.Random(6)
+    batches = [[(rng.choice([None, 0, 1, 2, 3, 4]), rng.randrange(4), rng.choice([None, rng.randrange(1 << 60)])) for _ in range(12)] for _ in range(4)]
+    batches[3] += batches[3][:2] + batches[0][:1]  # repeated rows
+    for rows in batches:
+        arrive(spark, f"{tmp_path}/in", rows, ROWS)
+    book, fault = ledger.Ledger(spark, f"{tmp_path}/book"), crash_at(phase, 2)
+    start = lambda: ledger.run_changes(streams.files(spark, f"{tmp_path}/in", ROWS, 1), book, f"{tmp_path}/check", fault=fault)
+    assert run(start) == "crashed" and run(start) == "ended"
+    best, expected = {}, []
+    for n, rows in enumerate(batches):
+        tops = {k: max(g for j, g, _ in rows if j == k) for k, _, _ in rows}
+        expected += [("retract", k, best[k], None, n) for k, g in tops.items() if k in best and g > best[k]]
+        best |= {k: max(g, best.get(k, g)) for k, g in tops.items()}
+        expected += [("add" if g == best[k] else "late", k, g, v, n) for k, g, v in rows]
+    changes = book.read("rows", f"op string, {ROWS}")
+    assert sorted((tuple(r) for r in changes.collect()), key=repr) == sorted(expected, key=repr)
+    found = [tuple(r) for r in ledger.replaced(changes).select("occurrence_id", "resume_generation", "value").collect()]
+    assert sorted(found, key=repr) == sorted((r for b in batches for r in b if r[1] == best[r[0]]), key=repr)

@@ -72,10 +72,9 @@ def stream_replaced_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records in three batches without order: later generations take back what earlier batches had accepted."""
     rows = roles.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("occurrence_id"), F.col("l_linenumber").cast("long").alias("resume_generation"), "l_partkey", "l_quantity")
-    changes = streams.accepted_changes(_arriving(rows, F.pmod("l_partkey", F.lit(3)), 3))
     book, checkpoint = _ledger(spark)
-    ledger.finish(ledger.into(changes, book, checkpoint))
-    return ledger.replaced(book.read("rows", ledger.schema_of(changes)))
+    ledger.finish(ledger.run_changes(_arriving(rows, F.pmod("l_partkey", F.lit(3)), 3), book, checkpoint))
+    return ledger.replaced(book.read("rows", f"op string, {ledger.schema_of(rows)}"))
 
 
 _GAP = 4321

@@ -126,6 +126,30 @@ def released_updates(ledger: Ledger, schema: str, column: str = "update_id") ->
     return rows.filter(F.col(column) < (last["state"]["next_update"] if last else 0))
 
 
+def run_changes(
+    stream: DataFrame, ledger: Ledger, checkpoint: str, table: str = "rows", key: str = "occurrence_id", generation: str = "resume_generation", fault: Fault | None = None,
+) -> StreamingQuery:
+    """Rows that replace each other by generation into the ledger, as the changes that :func:`streams.accepted_changes` makes, by joins of whole batches.
+
+    The greatest generation of a key before a batch is read from the rows that
+    the ledger has accepted, so nothing runs for each key and the stream has no
+    state of its own.
+    """
+    schema = f"op string, {schema_of(stream)}"
+
+    def one(batch: DataFrame, number: int) -> None:
+        held = ledger.read(table, schema).filter("op = 'add'").groupBy(F.col(key).alias("__h")).agg(F.max(generation).alias("__held"))
+        top = batch.groupBy(F.col(key).alias("__k")).agg(F.max(generation).alias("__top"))
+        keys = top.join(held, F.col("__k").eqNullSafe(F.col("__h")), "left").select("__k", "__held", F.greatest("__top", "__held").alias("__best"))
+        judged = batch.join(keys, batch[key].eqNullSafe(F.col("__k")))
+        rows = judged.select(F.when(F.col(generation) == F.col("__best"), "add").otherwise("late").alias("op"), *[batch[c] for c in batch.columns])
+        of = {key: F.col("__k"), generation: F.col("__held")}
+        gone = keys.filter("__best > __held").select(F.lit("retract").alias("op"), *[of.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in batch.schema])
+        ledger.commit(number, {table: rows.unionByName(gone)}, fault=fault)
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def replaced(changes: DataFrame, key: str = "occurrence_id", generation: str = "resume_generation") -> DataFrame:
     """What stands after all changes of :func:`streams.accepted_changes`: added rows that no retraction takes back."""
     gone = changes.filter("op = 'retract'").select(F.col(key).alias("__k"), F.col(generation).alias("__g")).distinct()
