@@ -228,3 +228,16 @@ def test_axis_and_angle(spark):
         size = math.sqrt(sum(v * v for v in axis))
         assert r["b"] == pytest.approx([*(v / size for v in axis), angle] if size else [1.0, 0.0, 0.0, 0.0])
         assert sum(v * v for v in r["q"]) == pytest.approx(1.0)
+
+
+def test_equal_angles_are_turned_once(spark, tmp_path):
+    from trajspark import catalog
+
+    # 3 triples of angles on 60 parts; one size is null
+    parts = [(k + 427 * n, size) for n in range(20) for k, size in ((1, 7), (2, None), (430, 9))]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = catalog.QUERIES["rotation_conventions"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate explode"):]  # below it in the plan
+    again = {r["convention"]: (r["turns"], r["restored"]) for r in found.collect()}
+    assert len(again) == 24 and set(again.values()) == {(60, 40)}

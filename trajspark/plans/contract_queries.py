@@ -173,14 +173,17 @@ SELECT convention, round(sum(q[1]), 4) AS w, round(sum(q[2]), 4) AS x, round(sum
 @query(_rotations_sql())
 def rotation_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three angles of each part by all 24 conventions as quaternions, and how many come back from their matrix as the same turn."""
-    k = F.col("p_partkey")
-    angles = F.array(F.pmod(k, F.lit(61)) * 0.1 - 3.0, F.col("p_size") * 0.06 - 1.4, F.pmod(k, F.lit(7)) * 0.4 - 1.2)
-    rows = roles.table(spark, sf_dir, "part").select(angles.alias("angles"), F.explode(F.lit(vectors.CONVENTIONS)).alias("convention"))
+    k, u, v, w, n = map(F.col, ("p_partkey", "u", "v", "w", "n"))
+    # parts with the same angles turn the same way: each triple of angles is turned once, and counts as often as parts have it
+    alike = roles.table(spark, sf_dir, "part").groupBy(F.pmod(k, F.lit(61)).alias("u"), F.col("p_size").alias("v"), F.pmod(k, F.lit(7)).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    angles = F.array(u * 0.1 - 3.0, v * 0.06 - 1.4, w * 0.4 - 1.2)
+    triples = alike.select(angles.alias("angles"), "n").repartition(spark.sparkContext.defaultParallelism)  # few bytes, but much work a row
+    rows = triples.select("angles", "n", F.explode(F.lit(vectors.CONVENTIONS)).alias("convention"))
     turned = rows.withColumn("q", vectors.angles_to_quaternion("angles", F.col("convention")))
     back = turned.withColumn("b", vectors.quaternion_to_angles("q", F.col("convention"))).withColumn("r", vectors.angles_to_quaternion("b", F.col("convention")))
     same = F.abs(F.abs(vectors.dot("q", "r")) - 1) < 1e-9
     return back.groupBy("convention").agg(
-        *[F.round(F.sum(F.col("q")[i]), 4).alias(n) for i, n in enumerate("wxyz")], F.count(F.lit(1)).alias("turns"), F.count_if(same).alias("restored"))
+        *[F.round(F.sum(F.col("q")[i] * n), 4).alias(name) for i, name in enumerate("wxyz")], F.sum("n").alias("turns"), F.sum(F.when(same, n).otherwise(0)).alias("restored"))
 
 
 @query("""WITH r AS (SELECT s_suppkey AS k, s_suppkey % 13 = 1 AS gone, s_suppkey % 11 = 2 AS twice, s_suppkey % 7 = 3 AS fp, s_suppkey % 5 = 4 AS world, s_suppkey % 17 = 5 AS old FROM supplier)
