@@ -115,6 +115,25 @@ def test_slots_alone_tell_pages_without_names(spark, seed):
     assert not any(fixed) or html_extract.Host([]).text(pages[0]) != found[0]["text"]
 
 
+def test_one_page_of_many_makes_a_slot_variable(spark):
+    # on each of ten pages of forty another paragraph differs: no six pages show all of them
+    said = lambda i, k: f"said by {i}" if i == 4 * k else f"usual {k}"
+    tags = "h1 h2 h3 h4 h5 h6 p pre figure address".split()
+    own = lambda i: f"words of {i} " * 40 + "end"
+    html = lambda i: f"<html><body><article><dl>{own(i)}</dl>{''.join(f'<{t}>{said(i, k)}</{t}>' for k, t in enumerate(tags))}<center>same on all</center></article></body></html>"
+    found = extract(spark, [(i, "http://m.com/x", html(i)) for i in range(40)])
+    assert [found[i]["text"].split("\n") for i in range(40)] == [[own(i), *[said(i, k) for k in range(10)]] for i in range(40)]
+
+
+def test_wrappers_of_parts_are_aligned():
+    import re
+
+    streams = [html_extract.Page(f"<article><h1>t</h1>{'<h2>a</h2>' * (n % 2)}<p>x</p>{'<pre>b</pre>' * (n // 2)}</article>").stream for n in range(4)]
+    whole = html_extract.align(html_extract.infer(streams[:2]), html_extract.infer(streams[2:]))
+    pattern = re.compile(html_extract.expression(whole))
+    assert all(pattern.fullmatch("".join(t + "\n" for t in s)) for s in streams)
+
+
 def test_very_long_page(spark):
     long = "".join(f"<p>line {i} of many</p>" for i in range(60_000))
     found = extract(spark, [(1, "http://l.com/", f"<article>{long}</article>"), (2, "http://l.com/", "<article><p>short</p></article>")])
